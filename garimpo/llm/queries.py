@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from garimpo.llm import near_duplicates
+from garimpo.llm import batch_dedup, frequencies, leaks, mixing, near_duplicates, repeated_lines
 from garimpo.session import prepared
 
 
@@ -14,6 +15,24 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return prepared(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    since = F.to_timestamp(F.lit("2026-03-01 00:00:00+00:00"))
+    rows = batch_dedup.repeated_rows(table(spark, folder, "documents_in"), "seq", "body", "collected_at", since, width=3, threshold=0.6, min_words=60)
+    return rows.withColumnRenamed("id", "seq")
+
+
+def p3_terms(spark: SparkSession, folder: str) -> DataFrame:
+    return frequencies.marked_terms(table(spark, folder, "postings"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p3_terms(spark, folder).where("mark IS NOT NULL").select("term", "mark")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_lines.repeated_lines(table(spark, folder, "documents_in"), "seq", "url", "url_hash", "body").withColumnRenamed("id", "seq")
+
+
 def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.near_duplicate_groups(table(spark, folder, "documents_in"), "seq", "title", "body", threshold=0.6, width=3, min_words=60)
 
@@ -22,9 +41,37 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.pairs_of_groups(p5_groups(spark, folder))
 
 
+def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items")).withColumn("similarity", F.round("similarity", 6))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p7_leaks(spark, folder).where("exact_windows > 0").select("doc_id", "item_id")
+
+
+#: Folder of the public tokenizers' vocabularies, and the one that counts tokens.
+TOKENIZERS, VOCABULARY = "/opt/tokenizers", "byte_bpe_multi_50k.tiktoken"
+
+
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"), f"{TOKENIZERS}/{VOCABULARY}")[0]
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"), f"{TOKENIZERS}/{VOCABULARY}")[1]
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p3_found": p3_found,
+    "p3_terms": p3_terms,
+    "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
+    "p7_found": p7_found,
+    "p7_leaks": p7_leaks,
+    "p8_mix": p8_mix,
+    "p8_shares": p8_shares,
 }
 
 SQL: dict[str, str] = {}
