@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from garimpo.llm import batch_dedup, frequencies, leaks, mixing, near_duplicates, repeated_lines
+from garimpo.llm import batch_dedup, frequencies, leaks, mixing, near_duplicates, quality, repeated_lines, residue
 from garimpo.session import prepared
 
 
@@ -21,6 +21,14 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumnRenamed("id", "seq")
 
 
+def p2_residue(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.residue_rows(table(spark, folder, "documents_in"), "seq", "title", "body").withColumnRenamed("id", "seq")
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p2_residue(spark, folder).select("seq").distinct()
+
+
 def p3_terms(spark: SparkSession, folder: str) -> DataFrame:
     return frequencies.marked_terms(table(spark, folder, "postings"))
 
@@ -61,8 +69,18 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"), f"{TOKENIZERS}/{VOCABULARY}")[1]
 
 
+def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.text_statistics(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "common_words")).withColumnRenamed("id", "doc_id")
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.no_prose(p9_statistics(spark, folder).withColumnRenamed("doc_id", "id")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p2_residue": p2_residue,
     "p3_found": p3_found,
     "p3_terms": p3_terms,
     "p4_found": p4_found,
@@ -72,6 +90,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_leaks": p7_leaks,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_statistics": p9_statistics,
 }
 
 SQL: dict[str, str] = {}
