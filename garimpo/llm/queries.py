@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from garimpo.llm import batch_dedup, frequencies, leaks, mixing, near_duplicates, quality, repeated_lines, residue
+from garimpo.llm import batch_dedup, boilerplate, frequencies, leaks, mixing, near_duplicates, quality, repeated_lines, residue
 from garimpo.session import prepared
 
 
@@ -49,6 +49,10 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.pairs_of_groups(p5_groups(spark, folder))
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return boilerplate.boilerplate_lines(table(spark, folder, "documents_in"), "seq", "url", "title", "body").withColumnRenamed("id", "seq")
+
+
 def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items")).withColumn("similarity", F.round("similarity", 6))
 
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
+    "p6_found": p6_found,
     "p7_found": p7_found,
     "p7_leaks": p7_leaks,
     "p8_mix": p8_mix,
