@@ -16,8 +16,10 @@ PARAGRAPH = r"(?i)<p\b[^>]*>"
 CUT = r"(?is)^(.*?)(?:</?(?:p|div|h[1-6]|ul|ol|table|article|section|main|body|header|aside)\b|\z)"
 TAG = r"<[^>]*>"
 HREF = r'(?i)<a\b[^>]*?href\s*=\s*"([^"]*)"'
-#: Text that marks a page rendered by scripts (fixed values, case-sensitive).
-SPA_MARKERS = ('<div id="root"></div>', '<div id="app"></div>', "__NEXT_DATA__", "window.__NUXT__", "ng-version")
+#: Marks of a page whose content a script fills in, case-sensitive.
+SPA_MARKERS = ('<div id="root"></div>', '<div id="app"></div>', '<div id="__next"></div>', "ng-version=", "data-reactroot")
+#: Classes of elements that hold no content.
+REMOVED_CLASSES = frozenset(("most-read", "related-posts", "newsletter-embed", "offcanvas-wrapper", "site-header", "site-footer", "share--article"))
 
 
 def stripped(html: Column) -> Column:
@@ -112,7 +114,7 @@ class _Page(HTMLParser):
             self.paragraph[1].append(data)
 
 
-def parse_page(html: str | None, removed_classes: frozenset[str] = frozenset()) -> tuple[str, str, list[str]]:
+def parse_page(html: str | None, removed_classes: frozenset[str] = REMOVED_CLASSES) -> tuple[str, str, list[str]]:
     """(title, body, links) of a page; a null page is empty."""
     page = _Page(removed_classes)
     page.feed(html or "")
@@ -125,7 +127,7 @@ def parse_page(html: str | None, removed_classes: frozenset[str] = frozenset())
 PAGE = StructType([StructField("title", StringType()), StructField("body", StringType()), StructField("links", ArrayType(StringType()))])
 
 
-def extract(html: Column, removed_classes: frozenset[str] = frozenset()) -> Column:
+def extract(html: Column, removed_classes: frozenset[str] = REMOVED_CLASSES) -> Column:
     """Title, body and links by the parser, for pages with classes to remove."""
 
     @F.arrow_udf(PAGE)

@@ -31,7 +31,7 @@ STEM = f"^(.{{3,}}?)(?:{'|'.join(SUFFIXES)})$"
 MIN_TOKEN, MAX_TOKEN, LEAST_STEMMED = 3, 40, 5
 
 
-def _quoted(text: str) -> str:
+def quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
@@ -43,7 +43,7 @@ def stem_sql(column: str) -> str:
     """Spark SQL for the stem of a lower-case token: accents folded, then the longest
     ending that leaves three letters taken off tokens of at least five."""
     fold = folded(column)
-    return f"if(length({column}) >= {LEAST_STEMMED}, regexp_replace({fold}, {_quoted(STEM)}, '$1'), {fold})"
+    return f"if(length({column}) >= {LEAST_STEMMED}, regexp_replace({fold}, {quoted(STEM)}, '$1'), {fold})"
 
 
 def stem(column: str) -> Column:
@@ -52,13 +52,13 @@ def stem(column: str) -> Column:
 
 def raw_tokens(column: str) -> Column:
     """Distinct runs of 3 to 40 letters in order; longer words are cut. Null gives null."""
-    return F.expr(f"array_distinct(regexp_extract_all(lower({column}), {_quoted(RAW)}, 0))")
+    return F.expr(f"array_distinct(regexp_extract_all(lower({column}), {quoted(RAW)}, 0))")
 
 
 def stems(column: str) -> Column:
     """Tokens without stop words, stemmed; duplicates and order kept."""
-    stop = ", ".join(_quoted(w) for w in STOP_WORDS)
-    return F.expr(f"transform(filter(regexp_extract_all(lower({column}), {_quoted(TOKEN)}, 0), t -> t NOT IN ({stop})), t -> {stem_sql('t')})")
+    stop = ", ".join(quoted(w) for w in STOP_WORDS)
+    return F.expr(f"transform(filter(regexp_extract_all(lower({column}), {quoted(TOKEN)}, 0), t -> t NOT IN ({stop})), t -> {stem_sql('t')})")
 
 
 def analyzed_tokens(column: str) -> Column:
@@ -78,7 +78,7 @@ def highlight(column: Column, terms: list[str]) -> Column:
     """Case-insensitive marks around the terms; without terms the text stays."""
     if not terms:
         return column
-    return F.regexp_replace(column, "(?i)(" + "|".join(regex.escape(t) for t in terms) + ")", "<mark>$1</mark>")
+    return F.regexp_replace(column, "(?iu)(" + "|".join(regex.escape(t) for t in terms) + ")", "<mark>$1</mark>")
 
 
 def analyze(text: str | None) -> list[str]:
