@@ -57,7 +57,7 @@ def removal_counts(rows: DataFrame, replaced: DataFrame) -> DataFrame:
 
 def replace(rows: DataFrame, new: DataFrame, replaced: DataFrame) -> DataFrame:
     """Postings after the documents in ``replaced`` got the postings ``new``."""
-    kept = rows.join(replaced.select("url_hash").distinct(), "url_hash", "left_anti")
+    kept = rows.join(replaced.select("url_hash").distinct(), "url_hash", "left_anti").select(rows.columns)
     return kept.unionByName(new, allowMissingColumns=True)
 
 
