@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from garimpo.llm.batches import Hasher, fold, hasher, pieces
+from garimpo.llm.samples import sampled
 
 PROSE, LIST, TABLE, JUNK = range(4)
 SEGMENT, SAMPLE_ROWS, SAMPLE_CHARS, ROUNDS = 240, 3000, 20_000, 4
@@ -211,7 +212,7 @@ class LineModel:
 def fit(docs: DataFrame, id_col: str, text: str, common: np.ndarray, sample_rows: int = SAMPLE_ROWS) -> LineModel:
     """Fit the model to the ``sample_rows`` texts with the smallest hashed ids, of at
     most SAMPLE_CHARS characters."""
-    rows = docs.where(F.length(text).between(1, SAMPLE_CHARS)).select(F.xxhash64(id_col).alias("h"), F.col(text).alias("t")).orderBy("h", "t").limit(sample_rows).collect()
+    rows = sampled(docs, id_col, text, sample_rows, SAMPLE_CHARS)
     model = LineModel(common)
     parts = [segments(r["t"]) for r in rows]
     lines = [x for part in parts for x in part]
