@@ -79,6 +79,11 @@ def weighted(rows: DataFrame, n: int) -> DataFrame:
     return joined.withColumn("tfidf", F.col("tf") * index_idf(F.lit(float(n)), F.col("__df"))).drop("__df")
 
 
+def metrics(rows: DataFrame) -> DataFrame:
+    """(documents, tokens, terms) of postings, from one row per term and document."""
+    return rows.agg(F.count_distinct("url_hash").alias("documents"), F.sum("tf").alias("tokens"), F.count_distinct("term").alias("terms"))
+
+
 def save(rows: DataFrame, name: str, buckets: int, key: str = "term") -> None:
     """Write postings as a table bucketed by ``key``: term lookups read one bucket,
     and joins on the key need no shuffle. Keep one copy by term, ordered by weight,

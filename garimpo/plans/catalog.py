@@ -112,10 +112,11 @@ def pending_docs(s, d):
 
 @query("SELECT seq, url_hash FROM documents_in WHERE seq % 7 BETWEEN 2 AND 4")
 def http_success(s, d):
-    return tables.succeeded(landed(s, d).withColumn("status", F.col("seq") % 7 * 100 - 5 + F.when(F.col("seq") % 7 == 2, 5).otherwise(0) + F.when(F.col("seq") % 7 == 3, -90).otherwise(0) + F.when(F.col("seq") % 7 == 4, -190).otherwise(0))).select("seq", "url_hash")
+    status = F.element_at(F.array(*map(F.lit, (199, 300, 200, 204, 299, 404, 503))), (F.col("seq") % 7 + 1).cast("int"))
+    return tables.succeeded(landed(s, d).withColumn("status", status)).select("seq", "url_hash")
 
 
-@query("SELECT * EXCLUDE (body, indexed_at), epoch_us(collected_at) AS at FROM docs".replace("*  EXCLUDE", "* EXCLUDE").replace("body, indexed_at)", "body, indexed_at, collected_at)"))
+@query("SELECT seq, url_hash, url, title, epoch_us(collected_at) AS at FROM docs")
 def upsert_latest(s, d):
     rows = landed(s, d)
     since = F.to_timestamp(F.lit("2026-03-01 00:00:00+00:00"))
@@ -321,6 +322,11 @@ def tfidf(s, d):
     return index.weighted(built(s, d), docs.count()).select("term", "url_hash", F.round("tfidf", 6).alias("tfidf"))
 
 
+@query("SELECT count(DISTINCT url_hash) AS documents, CAST(sum(tf) AS BIGINT) AS tokens, count(DISTINCT term) AS terms FROM built")
+def index_metrics(s, d):
+    return index.metrics(built(s, d))
+
+
 @query("SELECT term, df FROM dfs")
 def query_df(s, d):
     return search.query_df(built(s, d), QUERY)

@@ -79,3 +79,19 @@ def test_mark_indexed_leaves_newer_versions_pending(spark):
     done = spark.createDataFrame([("a", at(1)), ("b", at(1))], "url_hash string, collected_at timestamp")
     found = {r["url_hash"]: r["indexed_at"] for r in ingest.mark_indexed(docs, done, at(5)).collect()}
     assert found["a"] is None and found["b"] is not None
+
+
+def test_saved_postings_are_bucketed_and_joins_on_the_key_do_not_shuffle(spark, tmp_path):
+    rows = index.weighted(index.postings(spark.createDataFrame([("a", "foo bar"), ("b", "foo")], DOC)), 2)
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS saved LOCATION 'file://{tmp_path}/saved'")
+    index.save(rows, "saved.by_term", 4)
+    back = spark.table("saved.by_term")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
+    plan = back.groupBy("term").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    spark.sql("DROP DATABASE saved CASCADE")
+
+
+def test_metrics(spark):
+    rows = index.postings(spark.createDataFrame([("a", "foo bar foo"), ("b", "foo")], DOC))
+    assert tuple(index.metrics(rows).first()) == (2, 4, 2)
