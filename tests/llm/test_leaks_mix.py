@@ -88,3 +88,19 @@ def test_mix_with_more_than_there_is_uses_everything(mixed):
     assert {r["uses"] for r in uses.where("source = 'small.example'").collect()} == {3}
     empty, none = mixing.mix(mixed[0].limit(0), mixed[1], RANKS)
     assert empty.collect() == [] and {r["used_tokens"] for r in none.collect()} == {0}
+
+
+def test_weights_make_inclusion_unequal(spark):
+    rng = h.rng(5)
+    docs = [(i, h.sentence(rng) + str(i), "a.example", 1.0 if i % 2 else 3.0) for i in range(2000)] + [(5000, "sem peso", "a.example", None), (5001, "peso zero", "a.example", 0.0)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string, weight double")
+    targets = spark.createDataFrame([("a.example", 1.0, 2)], "source string, target_share double, max_repeats int")
+    for total in (20_000, 90_000):
+        uses, shares = mixing.mix(frame, targets, RANKS, total_tokens=total, weight="weight")
+        rows = {r["doc_id"]: r for r in uses.collect()}
+        row = shares.first()
+        assert row["used_tokens"] == pytest.approx(row["planned_tokens"], rel=0.005) and max(r["uses"] for r in rows.values()) <= 2
+        heavy, light = (sum(rows[i]["uses"] for i in range(k, 2000, 2) if i in rows) for k in (0, 1))
+        assert heavy > light and not {5000, 5001} & set(rows)
+        if total == 20_000:
+            assert heavy / light == pytest.approx(3.0, rel=0.25)
