@@ -27,20 +27,26 @@ def clean_source(source: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(source)), r"^www\.", "")
 
 
-def token_counts(texts: DataFrame, ranks: str) -> DataFrame:
-    """(key, text) to (key, tokens) by the byte-pair vocabulary in the file
-    ``ranks`` (tiktoken format). Pieces of a text are encoded once per worker
-    process, since most recur. A null text has no tokens."""
+def token_counts(texts: DataFrame, ranks: str, pattern: str | None = None) -> DataFrame:
+    """(key, text) to (key, tokens) by the byte-pair vocabulary in the driver's file
+    ``ranks`` (tiktoken format, below 1 MB), which is sent to the tasks. ``pattern``
+    cuts texts into pieces; without it that of the public tokenizers' package
+    holds. A null text has no tokens."""
+    if pattern is None:
+        import public_tokenizers
+
+        pattern = public_tokenizers.PATTERN
+    with open(ranks, "rb") as file:
+        shared = texts.sparkSession.sparkContext.broadcast((file.read(), pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import base64
 
-        import public_tokenizers
         import tiktoken
 
-        with open(ranks, "rb") as lines:
-            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        encoding = tiktoken.Encoding("mix", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+        lines, pattern = shared.value
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines())}
+        encoding = tiktoken.Encoding("mix", pat_str=pattern, mergeable_ranks=table, special_tokens={})
         for batch in batches:
             counts = [len(encoding.encode_ordinary(t)) if t else 0 for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], ["key", "tokens"])
