@@ -27,7 +27,21 @@ SUFFIXES = tuple(
     istas ista mente aveis avel iveis ivel osos osas oso osa ivos ivas ivo iva ados adas ado ada idos idas ido ida ando endo indo
     aram eram iram ou ei ar er ir as os es is a o e s""".split()
 )
-STEM = f"^(.{{3,}}?)(?:{'|'.join(SUFFIXES)})$"
+
+
+def alternatives(words: set[str]) -> str:
+    """A pattern for any of the words, branching by letter, so that a position is
+    given up at its first letter."""
+    branches = {}
+    for word in words - {""}:
+        branches.setdefault(word[0], set()).add(word[1:])
+    parts = [letter + alternatives(rest) for letter, rest in sorted(branches.items())]
+    body = parts[0] if len(parts) == 1 and "" not in words else f"(?:{'|'.join(parts)})" if parts else ""
+    return body + "?" if "" in words and parts else body
+
+
+#: The shortest stem of three letters or more, that is the longest ending, goes first.
+STEM = f"^(.{{3,}}?){alternatives(set(SUFFIXES))}$"
 MIN_TOKEN, MAX_TOKEN, LEAST_STEMMED = 3, 40, 5
 
 

@@ -67,8 +67,8 @@ def built(s: SparkSession, d: str) -> DataFrame:
 
 def index_of(s: SparkSession, d: str) -> DataFrame:
     """Weighted postings, written once, since every step of a search reads them."""
-    docs = docs_of(s, d)
-    return written(index.weighted(built(s, d).select("term", "url_hash", "tf"), docs.count()), "index")
+    rows = written(built(s, d).select("term", "url_hash", "tf"), "postings")
+    return written(index.weighted(rows, docs_of(s, d).count()), "index")
 
 
 def searched(s: SparkSession, d: str, **options) -> tuple[DataFrame, DataFrame]:
@@ -318,8 +318,8 @@ def query_idf(s, d):
 
 @query("SELECT term, url_hash, round(tfidf, 6) AS tfidf FROM idx")
 def tfidf(s, d):
-    docs = docs_of(s, d)
-    return index.weighted(built(s, d), docs.count()).select("term", "url_hash", F.round("tfidf", 6).alias("tfidf"))
+    rows = written(built(s, d).select("term", "url_hash", "tf"), "postings")
+    return index.weighted(rows, docs_of(s, d).count()).select("term", "url_hash", F.round("tfidf", 6).alias("tfidf"))
 
 
 @query("SELECT count(DISTINCT url_hash) AS documents, CAST(sum(tf) AS BIGINT) AS tokens, count(DISTINCT term) AS terms FROM built")
