@@ -17,6 +17,7 @@ from garimpo.functions import text as texts
 from garimpo.functions import url as urls
 from garimpo.operators import context as contexts
 from garimpo.operators.index import query_idf
+from garimpo.session import written
 
 #: Fixed values of the ranking.
 TOP_POSTINGS, POOL, POOL_FILTERED, CASCADE, FALLBACK = 5000, 500, 5000, 100, 500
@@ -217,9 +218,9 @@ def search(
     rows = postings.where(F.col("term").isin(query.terms))
     if dated:
         rows = rows.join(allowed.select("url_hash"), "url_hash", "left_semi")
-    hits = top_postings(rows, query, None if dated else TOP_POSTINGS)
+    hits = written(top_postings(rows, query, None if dated else TOP_POSTINGS), "hits")
     vector = query_vector(query_df(postings, query), docs.count())
-    scores = base_scores(hits, vector, query)
+    scores = written(base_scores(hits, vector, query), "scores")
     if not query.terms or scores.isEmpty():
         final = fallback_scores(fallback_matches(allowed, query.raw), query.raw)
     else:

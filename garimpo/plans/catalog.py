@@ -65,14 +65,16 @@ def built(s: SparkSession, d: str) -> DataFrame:
     return index.postings(docs_of(s, d))
 
 
-def index_of(s: SparkSession, d: str) -> DataFrame:
+def index_of(s: SparkSession, d: str, docs: DataFrame | None = None) -> DataFrame:
     """Weighted postings, written once, since every step of a search reads them."""
-    rows = written(built(s, d).select("term", "url_hash", "tf"), "postings")
-    return written(index.weighted(rows, docs_of(s, d).count()), "index")
+    docs = docs_of(s, d) if docs is None else docs
+    rows = written(index.postings(docs).select("term", "url_hash", "tf"), "postings")
+    return written(index.weighted(rows, docs.count()), "index")
 
 
 def searched(s: SparkSession, d: str, **options) -> tuple[DataFrame, DataFrame]:
-    found = search.search(docs_of(s, d), index_of(s, d), table(s, d, "lexicon"), table(s, d, "domain_trust"), QUERY, triggers=TRIGGERS, **options)
+    docs = written(docs_of(s, d), "docs")
+    found = search.search(docs, index_of(s, d, docs), table(s, d, "lexicon"), table(s, d, "domain_trust"), QUERY, triggers=TRIGGERS, **options)
     return found
 
 
@@ -536,7 +538,8 @@ def recent_documents(s, d):
 
 @query(f"SELECT {RECENT} FROM (SELECT * FROM (SELECT * FROM context c WHERE url_hash IN (SELECT url_hash FROM idx WHERE term IN (SELECT stem FROM lex)) ORDER BY c.collected_at DESC, url_hash LIMIT 50) p WHERE NOT is_ambiguous AND context >= 0.2 ORDER BY p.collected_at DESC, context DESC, url_hash LIMIT 12) q")
 def recent_filtered(s, d):
-    rows = recent.recent_filtered(docs_of(s, d), index_of(s, d), table(s, d, "lexicon"), table(s, d, "domain_trust"), TRIGGERS)
+    docs = written(docs_of(s, d), "docs")
+    rows = recent.recent_filtered(docs, index_of(s, d, docs), table(s, d, "lexicon"), table(s, d, "domain_trust"), TRIGGERS)
     return rows.withColumn("collected_at", F.unix_micros("collected_at"))
 
 
