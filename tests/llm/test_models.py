@@ -79,6 +79,23 @@ def test_residue_and_boilerplate(spark):
     assert boilerplate.boilerplate_lines(empty, "seq", "url", "title", "body").collect() == []
 
 
+def test_edited_copies_make_no_house_lines(spark):
+    rng = h.rng(9)
+    rows = [r for r in site(rng) if r[0] < 150]
+    base = [prose(rng, 2) for _ in range(8)]
+    for k in range(75):  # a third of the site
+        lines = list(base)
+        for at in rng.sample(range(8), 3):
+            parts = lines[at].split(" ")
+            parts[1 + rng.randrange(len(parts) - 2)] = rng.choice(h.VOCABULARY)
+            lines[at] = " ".join(parts)
+        rows.append((1000 + k, "https://j.example/1", "Outra", "\n".join(["Início", "Fale conosco", *lines, "© 2021 Jornal. Todos os direitos reservados."])))
+    frame = spark.createDataFrame(rows, "seq long, url string, title string, body string")
+    cut = {(r["id"], r["line_no"]) for r in boilerplate.boilerplate_lines(frame, "seq", "url", "title", "body").collect()}
+    assert {(s, n) for s, n in cut if s >= 1000} == {(1000 + k, n) for k in range(75) for n in (0, 1, 10)}
+    assert {n for s, n in cut if s < 150} == {0, 1, 6, 7}
+
+
 def test_viterbi_matches_enumeration():
     from itertools import product
 
