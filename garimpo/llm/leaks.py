@@ -6,6 +6,11 @@ of 16 bits finds all item windows within a Hamming distance of 3 of a corpus
 window: two fingerprints that differ in at most three bits agree in a block. An
 exact weighted-shingle similarity then verifies the candidates.
 
+A fingerprint moves by about seven bits when one of thirteen words is replaced, so
+only about one in sixteen such windows lies within the radius: windows of equal
+words are found for certain, near windows are a bonus. A shingle's weight is 1 plus the logarithm of the share of all
+passages without it, so that stock wordings weigh less than wordings of one item.
+
 The item index is bounded: items are taken in blocks of at most ``BLOCK_CHARS``
 characters, the corpus is streamed past each block, and nothing is shuffled but
 the verified rows.
@@ -21,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from garimpo.llm.batches import U64, Hasher, hasher, pieces, shingles
+from garimpo.llm.shared import Shared
+from garimpo.session import written
 
 UNIT, RADIUS, BLOCKS, SHINGLE = 13, 3, 4, 3
 #: Passages of one index, in characters; its arrays take about 40 bytes for each.
@@ -116,25 +123,33 @@ class Index:
         return at, window, similarity, whole[at] == self.exact[window]
 
 
-def indexes(passages: list[str | None], numbers: list[int], unit: int) -> list[Index]:
-    """An index for each width that the passages ask for. A shingle's weight is 1
-    plus the logarithm of the share of passages without it, so that stock wordings
-    shared by many passages weigh less than wordings of one."""
-    hashed = Hasher()
-    flats = []
-    for passage in passages:
+def indexes(passages: list[str | None], numbers: list[int], unit: int, weights: dict[int, float] | None = None) -> list[Index]:
+    """An index for each width that the passages ask for; a shingle without a weight
+    weighs 1."""
+    weights, hashed = weights or {}, Hasher()
+    by_width: dict[int, list[tuple[np.ndarray, int]]] = {}
+    for passage, number in zip(passages, numbers):
         flat, ends = hashed([passage or ""])
-        flats.append(flat[: ends[0]])
-    counts: dict[int, int] = {}
-    for flat in flats:
-        for gram in np.unique(shingles(flat, SHINGLE)[0]).tolist():
-            counts[gram] = counts.get(gram, 0) + 1
-    weights = {g: 1.0 + float(np.log(len(flats) / c)) for g, c in counts.items()}
-    by_width: dict[int, list[int]] = {}
-    for i, flat in enumerate(flats):
-        if len(flat):
-            by_width.setdefault(min(unit, len(flat)), []).append(i)
-    return [Index(w, [flats[i] for i in rows], [numbers[i] for i in rows], weights) for w, rows in sorted(by_width.items())]
+        if ends[0]:
+            by_width.setdefault(min(unit, int(ends[0])), []).append((flat[: ends[0]], number))
+    return [Index(w, [flat for flat, _ in rows], [n for _, n in rows], weights) for w, rows in sorted(by_width.items())]
+
+
+def shingle_rows(items: DataFrame) -> DataFrame:
+    """(item, block, passage) to one row (item, block, shingle) per distinct shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed = hasher()
+        for batch in batches:
+            for first, piece in pieces(batch.column(2).to_pylist()):
+                flat, ends = hashed(piece)
+                values, inside = shingles(flat, SHINGLE)
+                owner = np.searchsorted(ends, np.flatnonzero(inside))
+                both = np.unique(np.stack([owner.astype(U64), values[inside]]), axis=1)
+                rows = pa.array(first + both[0].astype(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(both[1].view(np.int64))], ["item", "block", "shingle"])
+
+    return items.select("item", "block", "passage").mapInArrow(run, "item long, block int, shingle long")
 
 
 def leaks(
@@ -149,15 +164,20 @@ def leaks(
     and texts leak nothing; equal passages leak together. Rows with a null id are
     left out; rows that repeat an id are taken together."""
     clean = items.where(F.col(item_id).isNotNull()).select(F.col(item_id).cast("long").alias("item"), F.col(passage).alias("passage"))
-    size = clean.agg(F.coalesce(F.sum(F.length("passage")), F.lit(0)).alias("n")).first()["n"]
+    size, n = clean.agg(F.coalesce(F.sum(F.length("passage")), F.lit(0)), F.count("*")).first()
     blocks = int(size // block_chars) + 1
+    clean = clean.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks)).cast("int"))
+    # over all items, so that a shingle weighs the same in whatever block it stands
+    grams = written(shingle_rows(clean), "item-shingles")
+    counts = written(grams.groupBy("shingle").agg(F.count_distinct("item").alias("n")), "shingle-counts")
     source = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
     schema = "doc long, item long, windows long, exact_windows long, similarity double"
     out = None
     for block in range(blocks):
-        rows = clean.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).collect()  # at most about block_chars characters
-        built = indexes([r["passage"] for r in rows], [r["item"] for r in rows], unit)
-        shared = docs.sparkSession.sparkContext.broadcast(built)
+        rows = clean.where(F.col("block") == block).collect()  # at most about block_chars characters
+        own = counts.join(grams.where(F.col("block") == block), "shingle", "left_semi").collect()
+        weights = {r["shingle"] & 0xFFFFFFFFFFFFFFFF: 1.0 + float(np.log(max(1.0, n / r["n"]))) for r in own}
+        shared = Shared(docs.sparkSession, indexes([r["passage"] for r in rows], [r["item"] for r in rows], unit, weights))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             hashed, spread = hasher(), spread_table()
@@ -165,7 +185,7 @@ def leaks(
                 ids = batch.column(0).to_numpy()
                 for first, piece in pieces(batch.column(1).to_pylist()):
                     flat, ends = hashed(piece)
-                    for index in shared.value:
+                    for index in shared.get():
                         at, window, similarity, same = index.search(flat, spread)
                         good = similarity >= least
                         at, window, similarity, same = at[good], window[good], similarity[good], same[good]
@@ -184,6 +204,9 @@ def leaks(
                         yield pa.RecordBatch.from_arrays([pa.array(key[0]), pa.array(key[1]), pa.array(np.bincount(group, minlength=key.shape[1])), pa.array(exact), pa.array(best)], ["doc", "item", "windows", "exact_windows", "similarity"])
 
         part = source.mapInArrow(run, schema)
+        if blocks > 1:
+            part = written(part, "leaks")
+            shared.drop()
         out = part if out is None else out.union(part)
     total = out.groupBy("doc", "item").agg(F.sum("windows").alias("windows"), F.sum("exact_windows").alias("exact_windows"), F.max("similarity").alias("similarity"))
     return total.withColumnsRenamed({"doc": doc_id, "item": item_id})

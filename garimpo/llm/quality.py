@@ -7,8 +7,9 @@ natural prose from the rest. Lines longer than SEGMENT characters are labelled b
 segments, so a text without line breaks is judged by the same evidence.
 
 The model is fitted to a bounded sample of SAMPLE_ROWS texts: lines with one clear
-statistic seed the four labels and keep them, the others take part by Viterbi
-training.
+statistic seed the four labels; from then on Viterbi training labels all lines,
+the seeds too, so the model can turn against a rule that started it. A seed's first
+label stays as one more piece of evidence.
 """
 
 from __future__ import annotations
@@ -22,8 +23,11 @@ from pyspark.sql import functions as F
 
 from garimpo.llm.batches import Hasher, fold, hasher, pieces
 from garimpo.llm.samples import sampled
+from garimpo.llm.shared import Shared
 
 PROSE, LIST, TABLE, JUNK = range(4)
+#: A longer list of common words is refused; 8 bytes of each go to every task.
+MOST_WORDS = 2_000_000
 SEGMENT, SAMPLE_ROWS, SAMPLE_CHARS, ROUNDS = 240, 3000, 20_000, 4
 #: Upper bounds of the bins of each statistic; shares are of words or of visible characters.
 BINS = {
@@ -165,11 +169,16 @@ class LineModel:
         """Log emission of each line under each label."""
         return sum(self.emit[k][:, np.searchsorted(b, s[k])].T for k, b in BINS.items())
 
-    def count(self, s: dict[str, np.ndarray], labels: np.ndarray, owner: np.ndarray) -> None:
+    def count(self, s: dict[str, np.ndarray], labels: np.ndarray, owner: np.ndarray, seeds: np.ndarray | None = None) -> None:
+        """Set the model from labelled lines; ``seeds`` count once more as evidence of
+        what a label's lines look like."""
         known = labels >= 0
         for k, b in BINS.items():
             table = np.full((4, len(b) + 1), 1.0)
-            np.add.at(table, (labels[known], np.searchsorted(b, s[k][known])), 1.0)
+            cell = np.searchsorted(b, s[k])
+            np.add.at(table, (labels[known], cell[known]), 1.0)
+            if seeds is not None:
+                np.add.at(table, (seeds[seeds >= 0], cell[seeds >= 0]), 1.0)
             self.emit[k] = np.log(table / table.sum(axis=1, keepdims=True))
         first = np.ones(len(labels), bool)
         first[1:] = owner[1:] != owner[:-1]
@@ -225,7 +234,7 @@ def fit(docs: DataFrame, id_col: str, text: str, common: np.ndarray, sample_rows
     model.count(stats, fixed, owner)
     for _ in range(ROUNDS):
         labels = model.label(model.scores(stats), counts)
-        model.count(stats, np.where(fixed >= 0, fixed, labels), owner)
+        model.count(stats, labels, owner, fixed)
     return model
 
 
@@ -240,13 +249,17 @@ def text_statistics(docs: DataFrame, id_col: str, text: str, common_words: DataF
 
     Symbols are visible characters other than letters, digits and ordinary
     punctuation. A null or blank text has no words and null shares. Rows with a null
-    id are left out; rows that repeat an id give a row each."""
-    items = [r[0] for r in common_words.where("word IS NOT NULL").select("word").distinct().limit(100_000).collect()]
+    id are left out; rows that repeat an id give a row each. More than MOST_WORDS
+    common words are an error."""
+    known = common_words.where("word IS NOT NULL").select("word").distinct()
+    if (n := known.count()) > MOST_WORDS:
+        raise ValueError(f"{n} common words; at most {MOST_WORDS} can be sent to the tasks")
+    items = [r[0] for r in known.collect()]
     common = Hasher().word_set(items) if items else np.zeros(0, np.uint64)
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, id_col, text, common, sample_rows))
+    model = Shared(docs.sparkSession, fit(docs, id_col, text, common, sample_rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hmm = model.value
+        hmm = model.get()
         statistics = Statistics(hmm.common, hasher())
         for batch in batches:
             for first, piece in pieces(batch.column(1).to_pylist(), 1_000_000):

@@ -104,3 +104,13 @@ def test_weights_make_inclusion_unequal(spark):
         assert heavy > light and not {5000, 5001} & set(rows)
         if total == 20_000:
             assert heavy / light == pytest.approx(3.0, rel=0.25)
+
+
+def test_similarity_does_not_depend_on_the_blocks(spark):
+    rng = h.rng(14)
+    passages = [h.article(rng, 4) for _ in range(8)]
+    stock = "segundo a nota divulgada pela prefeitura nesta semana"
+    items = spark.createDataFrame([(i, f"{stock} {p}") for i, p in enumerate(passages)], "item_id long, passage string")
+    docs = spark.createDataFrame([(i, h.edited(rng, f"{stock} {passages[i % 8]}", i % 5)) for i in range(40)], "doc_id long, text string")
+    whole = sorted(map(tuple, leaks.leaks(docs, items).collect()))
+    assert whole and whole == sorted(map(tuple, leaks.leaks(docs, items, block_chars=400).collect()))
