@@ -22,7 +22,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_residue(spark: SparkSession, folder: str) -> DataFrame:
-    return residue.residue_rows(table(spark, folder, "documents_in"), "seq", "title", "body").withColumnRenamed("id", "seq")
+    return residue.residue_rows(table(spark, folder, "documents_in"), "seq", "title", "body", "url").withColumnRenamed("id", "seq")
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -5,6 +5,8 @@ notices and unfilled slots. Every position of a text gets the log-likelihood rat
 of each class against prose; means over a window localise residue, and a text goes
 by the share of its prose-or-residue characters that residue covers. Slots are
 localised by a short window and then checked against the placeholder notations.
+A text that holds both residue and prose is measured without the lines of the page
+around it, which are counted over all rows (``house``).
 
 The prose and furniture models are fitted to a bounded sample of the collection
 (``SAMPLE_ROWS`` rows); filler, notices and slots start from the example wordings
@@ -19,57 +21,55 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from garimpo.functions import url as urls
 from garimpo.llm.batches import fold, pieces
+from garimpo.llm.house import FUNCTION_WORDS, house_lines, key, line_key, running_text, sketches
 from garimpo.llm.samples import sampled
+from garimpo.llm.shared import Shared
+from garimpo.session import written
 
 # Example wordings: text of our own that shows what each class looks like.
 FILLER = """lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua
 ut enim ad minim veniam quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat duis aute irure dolor
 in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident
 sunt in culpa qui officia deserunt mollit anim id est laborum vivamus sagittis lacus vel augue laoreet rutrum faucibus
-texto de exemplo a ser substituído pela redação
-texto de exemplo para ocupar o espaço
-digite aqui o texto da matéria. digite aqui o primeiro parágrafo
-insira o texto aqui. inserir olho da matéria. inserir legenda aqui
-título da notícia. título da matéria. subtítulo vai aqui. o subtítulo entra aqui
-aqui entra o texto do repórter. aqui vai o texto
-parágrafo de apoio (apagar antes de publicar). apague este parágrafo
-legenda da foto (crédito). crédito da foto
-conteúdo em construção. página em construção. em breve
-TODO: escrever abertura. TODO: revisar. FIXME
-teste teste teste 123. isto é um teste. teste
-blá blá blá blá blá. bla bla bla
-asdf asdf qwer qwerty asdfgh. xxxx xxxx xxxx. xxx xxx. aaa bbb ccc
-your text here. insert text here. placeholder text. sample text to be replaced
-texto de relleno. escriba aquí su texto. contenido de ejemplo"""
-NOTICE = """erro 404. a página que você procura não existe ou foi removida
-página não encontrada. o endereço não foi encontrado neste servidor
-desculpe, não localizamos este endereço. verifique se digitou corretamente ou volte à capa. código: 000
-nada por aqui... a matéria mudou de lugar ou saiu do ar
-ops! algo deu errado. tente novamente mais tarde
-HTTP 500 Internal Server Error. HTTP 502 Bad Gateway. HTTP 503 Service Unavailable. 504 Gateway Timeout. 403 Forbidden
-servidor-web/1.10. nginx/1.18. apache/2.4 server at port 80
-serviço temporariamente indisponível. o site está fora do ar
-estamos em manutenção programada. previsão de retorno: 10h. voltamos já. voltaremos em breve
-erro ao conectar ao banco de dados (código 000). error establishing a database connection
-traceback (most recent call last): NullReference em Pagina.Render() linha 00. exception in thread main
-warning: include(inc/pagina.php): falha ao abrir arquivo em /srv/site/0000.php na linha 00. fatal error: uncaught error in /var/www/html/index.php on line 00
-acesso negado. access denied. you don't have permission to view this resource
-sua requisição foi bloqueada pelo firewall. identificador 0000. ray id: 0000
-muitas solicitações vindas da sua rede. espere um instante e recarregue. too many requests
-confirme que você não é um robô. IP registrado. ID 0000. verificação de segurança. complete o captcha
-verificando se a conexão é segura. checking your browser before accessing
-sessão expirada. faça login novamente para acessar o conteúdo
-este aplicativo precisa de scripts habilitados para funcionar
-ative o JavaScript no seu navegador para continuar. habilite o JavaScript
-habilite scripts e recarregue a página. ref. 0000
-you need to enable JavaScript to run this app. please enable JavaScript and cookies to continue
-noscript: conteúdo disponível apenas com JavaScript ligado
-seu navegador não oferece suporte aos recursos desta página. atualize-o ou permita a execução de scripts
-este navegador não é compatível. use outro navegador. your browser is not supported. please upgrade your browser
+isto é um texto de exemplo. este texto é provisório e deve ser trocado pelo definitivo
+escreva aqui. escreva seu texto neste espaço. coloque aqui o conteúdo. digite o título. cole o texto aqui
+espaço reservado para o texto. espaço reservado para a foto. espaço para o subtítulo. nome do autor. título do artigo
+legenda da imagem. descrição da imagem. subtítulo do artigo. resumo do artigo. conteúdo provisório, não publicar
+rascunho: substituir antes da publicação. remover este bloco. modelo de página, preencher os campos
+em construção. página em construção. em breve novidades. conteúdo em breve
+TODO: completar. TODO: revisar texto. FIXME. TBD. a definir. a preencher
+teste. texto de teste. testando 1 2 3. post de teste. isto é só um teste
+blá blá blá. bla bla bla bla. blablablá
+asdf asdf asdfasdf. qwerty qwertyuiop. zxcv. xxxxx xxxx. aaaa bbbb cccc. abc abc abc
+your text here. insert text here. placeholder text. sample text to be replaced. this is dummy text. hello world
+texto de relleno. escriba aquí su texto. contenido de ejemplo. texto de prueba"""
+NOTICE = """erro 404. página não encontrada. não foi possível encontrar a página solicitada. o conteúdo solicitado não está mais disponível
+o endereço digitado não existe. confira o link ou volte para a página inicial. o artigo foi removido ou mudou de endereço
+desculpe, não encontramos o que você procura. ops, ocorreu um erro. algo deu errado, tente novamente em alguns minutos
+404 not found. 500 internal server error. 502 bad gateway. 503 service unavailable. 504 gateway timeout. 403 forbidden. 410 gone
+nginx/1.18.0. apache/2.4.41 server at localhost port 80. openresty. iis detailed error
+serviço indisponível no momento. o servidor não respondeu. o site está temporariamente fora do ar. erro interno do servidor
+site em manutenção. estamos fazendo manutenção, volte mais tarde. manutenção programada, retornaremos em poucos minutos
+falha na conexão com o banco de dados. error establishing a database connection. código do erro: 1045
+traceback (most recent call last): file main.py line 10. exception in thread main java.lang.nullpointerexception at app.page.render(page.java:10)
+warning: include(header.php): failed to open stream: no such file or directory in /var/www/html/index.php on line 10. fatal error: uncaught exception
+undefined variable in template. stack trace: at object.render. erro na linha 10 do arquivo. syntax error, unexpected token
+acesso negado. você não tem permissão para acessar esta página. access denied. you don't have permission to view this resource
+acesso bloqueado por motivos de segurança. sua solicitação foi bloqueada. bloqueado pelo firewall. identificador da requisição 00. ray id: 00
+limite de solicitações excedido. muitas requisições em pouco tempo, aguarde e tente de novo. too many requests. rate limit exceeded
+prove que você não é um robô. confirme que é humano. seu endereço ip 0.0.0.0 foi registrado. verificação de segurança. resolva o captcha
+checking your browser before accessing. verificando seu navegador. aguarde enquanto verificamos a conexão
+sua sessão expirou. entre novamente. faça login para continuar. conteúdo exclusivo para assinantes cadastrados
+esta página precisa de JavaScript. é necessário habilitar o JavaScript para ver este conteúdo. ative os scripts do navegador e atualize a página
+o javascript está desativado no seu navegador. habilite scripts e cookies para continuar
+you need to enable JavaScript to run this app. please enable JavaScript and cookies to continue. noscript
+seu navegador está desatualizado ou não é compatível. use um navegador mais recente. navegador sem suporte, atualize-o
+your browser is not supported. please upgrade your browser. this site requires scripts
 página no encontrada. acceso denegado. servicio no disponible. active JavaScript para continuar"""
 SLOT_NAMES = "titulo title texto text nome name autor author corpo body resumo legenda editoria chapeu subtitulo valor valor_total usuario.nome item.descricao noticia.texto post.title page.body data_publicacao descricao"
 SLOT_FORMS = ["{{%s}}", "{{ %s }}", "{{%s|default('')}}", "${%s}", "#{%s}", "{%s}", "{0}", "[[%s]]", "[inserir %s aqui]", "<%%= %s %%>", "{%% block %s %%}{%% endblock %%}", "%%%%%s%%%%", "@@%s@@", "__%s__", "[%s]", "&lt;%s&gt;", "undefined", "[object Object]", "%%(%s)s"]
@@ -87,11 +87,10 @@ QUOTED = re.compile("“[^”\n]{2,300}”")
 PROSE, FURNITURE, FILL, NOTE, SLOTS = range(5)
 ORDER, TABLE_BITS = 4, 18
 SAMPLE_ROWS, SAMPLE_CHARS = 4000, 20_000
-LEAST_SHARED = 5  # sampled pages, of different longest lines, that share a line of the house
 WINDOW, SLOT_WINDOW, SLOT_REACH = 32, 8, 90  # in characters
 STRENGTH = 3000.0  # weight of the common background in a class model
 CLIP, SCALE = 4.0, 256
-COVERAGE, LEAST_CHARS, MOST_PROSE = 0.6, 3, 90
+COVERAGE, LEAST_CHARS = 0.6, 3
 
 
 def char_table() -> np.ndarray:
@@ -127,8 +126,7 @@ class Residue:
     """The fitted models: ``ratio[k]`` is the log-likelihood ratio of class k to
     prose, in SCALE-ths, so that sums over windows are exact integers."""
 
-    def __init__(self, counts: np.ndarray, house: frozenset[str] = frozenset()) -> None:
-        self.house = house  # lines that many of the sample's pages share
+    def __init__(self, counts: np.ndarray) -> None:
         background = counts.sum(axis=0) + 0.5
         background /= background.sum()
         log = [np.log((c + STRENGTH * background) / (c.sum() + STRENGTH)) for c in counts]
@@ -174,16 +172,6 @@ class Residue:
         ends = starts + sizes
         return total[0, ends] - total[0, starts], total[1, ends] - total[1, starts], slots
 
-    def judge(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``measure``, and once more without the lines of the page around the text
-        for the texts that hold both residue and little prose."""
-        residue, prose, slots = self.measure(texts)
-        again = np.flatnonzero((residue >= LEAST_CHARS) & (prose > 0) & (prose <= 8 * MOST_PROSE))
-        if len(again):
-            own = ["\n".join(x for x in texts[i].split("\n") if normal(x) not in self.house) for i in again]
-            residue[again], prose[again], _ = self.measure(own)
-        return residue, prose, slots
-
     @staticmethod
     def _slots(joined: str, short: np.ndarray) -> Iterator[tuple[int, int]]:
         """Spans in a placeholder notation at positions whose window speaks for a slot."""
@@ -200,18 +188,6 @@ class Residue:
                     yield low, high
 
 
-def no_article(residue: np.ndarray, prose: np.ndarray) -> np.ndarray:
-    """Whether residue covers a text so far that it holds no article."""
-    return (residue >= LEAST_CHARS) & (prose <= MOST_PROSE) & (residue >= COVERAGE * (residue + prose))
-
-
-def normal(line: str) -> str:
-    return re.sub(r"\d", "0", " ".join(line.split())).lower()
-
-
-FUNCTION_WORDS = frozenset("o a os as um uma de do da dos das em no na nos nas por para pelo pela com e que se foi não el la los las del y en un una con the of and to in was for on that is by with".split())
-
-
 def is_prose(line: str) -> bool:
     """A long line that ends as a sentence and in which function words are frequent."""
     found = line.lower().split()
@@ -230,19 +206,13 @@ def fit(docs: DataFrame, id_col: str, text: str, sample_rows: int = SAMPLE_ROWS)
     pages = [[" ".join(x.split()) for x in r["t"].split("\n") if x.strip()] for r in rows]
     with_prose = [any(map(is_prose, page)) for page in pages]
     seen = Counter(re.sub(r"\d", "0", line).lower() for page, ok in zip(pages, with_prose) if ok for line in set(page) if not is_prose(line))
-    shared: dict[str, set[str]] = {}
-    for page in pages:
-        longest = max(page, key=len, default="")
-        for line in map(normal, set(page)):
-            shared.setdefault(line, set()).add(longest)
-    common = frozenset(line for line, found in shared.items() if len(found) >= LEAST_SHARED)
     prose = [line for page in pages for line in page if is_prose(line)]
     furniture = [line for line, n in seen.items() if n >= 4]
     house = set(furniture)
     names = SLOT_NAMES.split()
     slots = [form % tuple([name if i % 2 else name.upper()] * form.replace("%%", "").count("%s")) for form in SLOT_FORMS for i, name in enumerate(names)]
     counts = np.stack([count(prose), count(furniture, 3.0), count(FILLER.split("\n"), 3.0), count(NOTICE.split("\n"), 3.0), count(slots)])
-    model = Residue(counts, common)
+    model = Residue(counts)
     # what texts without any prose hold, apart from furniture, joins the class it resembles
     rest = [[x for x in page if re.sub(r"\d", "0", x).lower() not in house] for page, ok in zip(pages, with_prose) if not ok]
     rest = [" ".join(x) for x in rest if x]
@@ -254,29 +224,114 @@ def fit(docs: DataFrame, id_col: str, text: str, sample_rows: int = SAMPLE_ROWS)
             more[best + 1].append(body)
     for k, lines in more.items():
         counts[k] += count(lines)
-    return Residue(counts, common)
+    return Residue(counts)
 
 
-def residue_rows(docs: DataFrame, id_col: str, title: str, body: str, *, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(id, residue_chars, prose_chars, slot) of the rows to exclude: an open slot in
-    title or body, or a body covered by residue.
+PAGE = "row long, id long, site long, own long, residue int, prose int, slot boolean, bands array<long>, sketch binary, lines array<long>, text string"
 
-    Null titles and bodies count as empty; an empty or blank body is no residue but
-    its title may hold a slot. Rows with a null id are left out."""
-    model = fit(docs, id_col, body, sample_rows)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # five tables of 2 ** TABLE_BITS ratios
+
+def scored_pages(docs: DataFrame, model: Shared, *, texts: bool) -> DataFrame:
+    """(row, id, site, title, body) to one row per page: residue and prose characters
+    of the body, open slots in title or body, and what ``house_lines`` reads. The text
+    stays with the pages that hold both residue and prose, or with all of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        residue_of = model.get()
+        known: dict[str, tuple[int, bool]] = {}
         for batch in batches:
-            titles = batch.column(1).to_pylist()
-            for first, piece in pieces(batch.column(2).to_pylist(), 500_000):
-                heads = [t or "" for t in titles[first : first + len(piece)]]
-                residue, prose, slot = model.judge(piece)
-                slot |= model.measure(heads)[2]
-                keep = slot | no_article(residue, prose)
-                at = np.flatnonzero(keep)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first + at)), pa.array(residue[at]), pa.array(prose[at]), pa.array(slot[at])], ["id", "residue_chars", "prose_chars", "slot"])
-
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(title).alias("title"), F.col(body).alias("body")).where("id IS NOT NULL")
-    return source.mapInArrow(run, "id long, residue_chars long, prose_chars long, slot boolean")
+            titles = batch.column(3).to_pylist()
+            for first, piece in pieces(batch.column(4).to_pylist(), 500_000):
+                residue, prose, slot = residue_of.measure(piece)
+                slot |= residue_of.measure([t or "" for t in titles[first : first + len(piece)]])[2]
+                own, runs, lines = [], [], []
+                for text in piece:
+                    running, keys, longest = [], [], ""
+                    for line in text.split("\n"):
+                        line = " ".join(line.split())
+                        if not line:
+                            continue
+                        if len(line) > len(longest):
+                            longest = line
+                        found = known.get(line)
+                        if found is None:
+                            if len(known) > 100_000:
+                                known.clear()
+                            found = known[line] = (line_key(line), running_text(line))
+                        keys.append(found[0])
+                        if found[1]:
+                            running.append(line)
+                    runs.append("\n".join(running))
+                    own.append(key(runs[-1] or longest))
+                    lines.append(keys)
+                registers, bands = sketches(runs)
+                without = [not r for r in runs]
+                both = (residue >= LEAST_CHARS) & (prose > 0)
+                at = slice(first, first + len(piece))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(batch.column(k).slice(first, len(piece)) for k in range(3)),
+                        pa.array(own, pa.int64()),
+                        pa.array(residue.astype(np.int32)),
+                        pa.array(prose.astype(np.int32)),
+                        pa.array(slot),
+                        pa.array([None if no else b for b, no in zip(bands.tolist(), without)], pa.list_(pa.int64())),
+                        pa.array([None if no else r.tobytes() for r, no in zip(registers, without)], pa.binary()),
+                        pa.array(lines, pa.list_(pa.int64())),
+                        pa.array(batch.column(4).slice(at.start, len(piece)).to_pylist() if texts else [t if b else None for t, b in zip(piece, both)], pa.string()),
+                    ],
+                    [p.split()[0] for p in PAGE.split(", ")],
+                )
+
+    return docs.select("row", "id", "site", "title", "body").mapInArrow(run, PAGE)
+
+
+def judged(docs: DataFrame, id_col: str, title: str, body: str, url: str | None = None, *, sample_rows: int = SAMPLE_ROWS, texts: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pages, house, verdicts): the written ``scored_pages``, the lines of the house,
+    and (row, id, residue_chars, prose_chars, slot) of every page, where a page that
+    holds both residue and prose was measured again without the lines of the house.
+    Without ``url`` all rows are one site."""
+    model = Shared(docs.sparkSession, fit(docs, id_col, body, sample_rows))  # five tables of 2 ** TABLE_BITS ratios
+    site = F.xxhash64(urls.domain(F.col(url))) if url else F.lit(0).cast("long")
+    source = docs.where(F.col(id_col).isNotNull()).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), site.alias("site"), F.col(title).alias("title"), F.col(body).alias("body"))
+    pages = written(scored_pages(source, model, texts=texts), "pages")
+    house = house_lines(pages)
+    mixed = (F.col("residue") >= LEAST_CHARS) & (F.col("prose") > 0)
+    open_ = pages.where(mixed)
+    placed = open_.select("row", "site", F.posexplode("lines").alias("place", "line"))
+    gone = placed.join(house, ["site", "line"], "left_semi").groupBy("row").agg(F.collect_list("place").alias("gone"))
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        residue_of = model.get()
+        for batch in batches:
+            cut = batch.column("gone").to_pylist()
+            for first, piece in pieces(batch.column("text").to_pylist(), 500_000):
+                own = []
+                for text, out in zip(piece, cut[first : first + len(piece)]):
+                    lines = [line for x in text.split("\n") if (line := " ".join(x.split()))]
+                    out = set(out or ())
+                    own.append("\n".join(x for i, x in enumerate(lines) if i not in out))
+                residue, prose, _ = residue_of.measure(own)
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(first, len(piece)), batch.column("id").slice(first, len(piece)), pa.array(residue), pa.array(prose), batch.column("slot").slice(first, len(piece))], ["row", "id", "residue_chars", "prose_chars", "slot"])
+
+    second = open_.select("row", "id", "text", "slot").join(gone, "row", "left").mapInArrow(again, "row long, id long, residue_chars long, prose_chars long, slot boolean")
+    plain = pages.where(~mixed).select("row", "id", F.col("residue").cast("long").alias("residue_chars"), F.col("prose").cast("long").alias("prose_chars"), "slot")
+    return pages, house, plain.union(second)
+
+
+def without_article() -> Column:
+    """``no_article`` of the verdicts' columns."""
+    residue, prose = F.col("residue_chars"), F.col("prose_chars")
+    return (residue >= LEAST_CHARS) & (residue >= COVERAGE * (residue + prose))
+
+
+def residue_rows(docs: DataFrame, id_col: str, title: str, body: str, url: str | None = None, *, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(id, residue_chars, prose_chars, slot) of the rows to exclude: an open slot in
+    title or body, or a body covered by residue.
+
+    Null titles and bodies count as empty; an empty or blank body is no residue but
+    its title may hold a slot. Rows with a null id are left out; rows that repeat an
+    id are judged each. ``url`` names the column whose site's repeated lines are left
+    out of the measure; a null URL is a site of its own, and without the column all
+    rows are one site."""
+    verdicts = judged(docs, id_col, title, body, url, sample_rows=sample_rows)[2]
+    return verdicts.where(F.col("slot") | without_article()).drop("row")
