@@ -16,6 +16,10 @@ PARAGRAPH = r"(?i)<p\b[^>]*>"
 CUT = r"(?is)^(.*?)(?:</?(?:p|div|h[1-6]|ul|ol|table|article|section|main|body|header|aside)\b|\z)"
 TAG = r"<[^>]*>"
 HREF = r'(?i)<a\b[^>]*?href\s*=\s*"([^"]*)"'
+#: Scheme and authority of an address.
+ROOT = r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]+)"
+#: Fixed value: a paragraph that counts as long.
+LONG_PARAGRAPH = r"(?d)<p[^>]*>.{80,}</p>"
 #: Marks of a page whose content a script fills in, case-sensitive.
 SPA_MARKERS = ('<div id="root"></div>', '<div id="app"></div>', '<div id="__next"></div>', "ng-version=", "data-reactroot")
 #: Classes of elements that hold no content.
@@ -46,11 +50,45 @@ def links(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(HREF), F.lit(1))
 
 
+def resolved(href: Column, base: Column) -> Column:
+    """An absolute http(s) address for an href as written, against the address of its
+    page: with a scheme as it is, ``//host`` with the page's scheme, ``/path`` from the
+    host, ``?query`` and relative paths from the page's folder, ``.`` and ``..`` taken
+    out. Fragments are cut. Null for other schemes, for an href that is empty or only
+    a fragment, and where the page has no host and the href is relative."""
+    link = F.regexp_replace(F.trim(href), r"#.*$", "")
+    root = F.regexp_extract(base, ROOT, 1)
+    path = F.regexp_replace(F.regexp_replace(base, ROOT, ""), r"[?#].*$", "")
+    folder = F.concat(root, F.when(path == "", F.lit("/")).otherwise(F.regexp_replace(path, r"[^/]*$", "")))
+    joined = (
+        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), link)
+        .when(root == "", F.lit(None))
+        .when(link.startswith("//"), F.concat(F.regexp_extract(root, r"^[^:]*:", 0), link))
+        .when(link.startswith("/"), F.concat(root, link))
+        .when(link.startswith("?"), F.concat(root, F.when(path == "", F.lit("/")).otherwise(path), link))
+        .otherwise(F.concat(folder, link))
+    )
+    return F.when((link != "") & joined.rlike(r"^(?i:https?)://[^/?#]"), _without_dots(joined))
+
+
+def _without_dots(url: Column) -> Column:
+    """Path segments ``.`` dropped and ``..`` taken out with the one before them."""
+    head, tail = F.regexp_extract(url, ROOT, 0), F.regexp_replace(url, ROOT, "")
+    query = F.regexp_extract(tail, r"\?.*$", 0)
+    path = F.regexp_replace(tail, r"\?.*$", "")
+    parts = F.split(F.regexp_replace(path, r"^/", ""), "/")
+    start = F.array().cast("array<string>")
+    kept = F.aggregate(parts, start, lambda a, p: F.when(p == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).when(p == ".", a).otherwise(F.array_append(a, p)))
+    last = F.element_at(parts, -1)
+    closed = F.concat(F.array_join(kept, "/"), F.when(last.isin(".", "..") & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit("")))
+    return F.concat(head, F.when(path == "", F.lit("")).otherwise(F.concat(F.lit("/"), closed)), query)
+
+
 def content_sufficient(html: Column) -> Column:
     """At least 500 characters, no script marker, and two paragraphs of 80 or more
     characters on one line each."""
     plain = ~F.coalesce(*[F.when(html.contains(m), True) for m in SPA_MARKERS], F.lit(False))
-    long = F.size(F.regexp_extract_all(html, F.lit(r"(?d)<p[^>]*>.{80,}</p>"), F.lit(0))) >= 2
+    long = F.size(F.regexp_extract_all(html, F.lit(LONG_PARAGRAPH), F.lit(0))) >= 2
     return F.coalesce((F.trim(html) != "") & (F.length(html) >= 500) & plain & long, F.lit(False))
 
 

@@ -5,19 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from garimpo.operators.context import phrase_weight, phrases_of
+
 LEAST_KEYWORDS = 2
 
 
 def keyword_scores(docs: DataFrame, lexicon: DataFrame, least: int = LEAST_KEYWORDS) -> DataFrame:
     """(url_hash, relevance) of documents whose title or body contains keywords of a
-    total weight of at least ``least``. The lexicon's keywords are a short list."""
-    rows = lexicon.where("category = 'keyword' AND term IS NOT NULL").groupBy(F.lower("term").alias("term")).agg(F.max("weight").alias("weight")).collect()
-    text = F.lower(F.concat_ws(" ", "title", "body"))
-    scored = docs.select("url_hash", text.alias("__t"))
-    total = F.lit(0)
-    for row in sorted(rows, key=lambda r: r["term"]):
-        total = total + F.when(F.col("__t").contains(row["term"]), row["weight"]).otherwise(0)
-    return scored.select("url_hash", total.cast("long").alias("relevance")).where(F.col("relevance") >= least)
+    total weight of at least ``least``; of a repeated keyword the largest weight holds."""
+    keywords = phrases_of(lexicon.where("category = 'keyword'"), "term", "weight")
+    scored = docs.select("url_hash", phrase_weight(docs.sparkSession, F.concat_ws(" ", "title", "body"), keywords).alias("relevance"))
+    return scored.where(F.col("relevance") >= least)
 
 
 def count(docs: DataFrame) -> DataFrame:

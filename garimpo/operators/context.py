@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from garimpo.functions import text as texts
 from garimpo.functions import url as urls
@@ -55,10 +57,43 @@ def holds_any(column: Column, phrases: list[str]) -> Column:
     return F.coalesce(found, F.lit(False))
 
 
-def ambiguous(title: Column, triggers: list[str], cues: list[str]) -> Column:
+#: Characters of the phrases that are sent to every task; a longer list is refused.
+MOST_PHRASES = 20_000_000
+
+
+def phrases_of(rows: DataFrame, term: str, weight: str | None = None) -> dict[str, int]:
+    """Distinct lower-case phrases of a table, with their largest weight or 0. Null
+    and empty phrases match nothing."""
+    table = rows.where(f"{term} IS NOT NULL AND {term} != ''").groupBy(F.lower(term).alias("p")).agg((F.max(weight) if weight else F.lit(0)).alias("w"))
+    if (size := table.agg(F.coalesce(F.sum(F.length("p")), F.lit(0))).first()[0]) > MOST_PHRASES:
+        raise ValueError(f"{size} characters of phrases; at most {MOST_PHRASES} can be sent to the tasks")
+    return {r["p"]: r["w"] or 0 for r in table.collect()}
+
+
+def phrase_weight(spark: SparkSession, text: Column, phrases: dict[str, int]) -> Column:
+    """Summed weights of the phrases that a text contains, case-insensitively; null for
+    a null text. A text is read once, however many phrases there are: one automaton
+    finds the occurrences of all of them."""
+    shared = spark.sparkContext.broadcast(phrases)
+
+    @F.arrow_udf(LongType())
+    def run(values: pa.Array) -> pa.Array:
+        import ahocorasick
+
+        found = ahocorasick.Automaton()
+        for phrase, weight in shared.value.items():
+            found.add_word(phrase, (phrase, weight))
+        found.make_automaton()
+        hits = (lambda text: {hit for _, hit in found.iter(text)}) if shared.value else lambda text: ()
+        return pa.array([None if v is None else sum(w for _, w in hits(v)) for v in values.to_pylist()], pa.int64())
+
+    return run(F.lower(text))
+
+
+def ambiguous(title: Column, triggers: list[str], cue: Column) -> Column:
     """A trigger phrase and a non-topical cue in the title, without topical hits."""
     topical = (F.col("person_hits") > 0) | (F.col("operation_hits") > 1) | (F.col("institution_hits") > 0)
-    return holds_any(title, triggers) & holds_any(title, cues) & ~topical
+    return holds_any(title, triggers) & cue & ~topical
 
 
 def score(is_ambiguous: Column, trust: Column) -> Column:
@@ -81,8 +116,9 @@ def with_trust(docs: DataFrame, trust: DataFrame, url: str = "url") -> DataFrame
 def analysis(docs: DataFrame, postings: DataFrame, lexicon: DataFrame, trust: DataFrame, triggers: list[str]) -> DataFrame:
     """(url_hash, score, is_ambiguous, hits ..., domain_trust) of docs (url_hash, url,
     title). The cues are the lexicon's ``nontopical`` terms."""
-    cues = [r["term"] for r in lexicon.where("category = 'nontopical' AND term IS NOT NULL").select("term").distinct().collect()]
+    cues = dict.fromkeys(phrases_of(lexicon.where("category = 'nontopical'"), "term"), 1)
+    cue = F.coalesce(phrase_weight(docs.sparkSession, F.col("title"), cues) > 0, F.lit(False))
     found = with_trust(docs.select("url_hash", "url", "title"), trust).join(hits(docs, postings, lexicon_stems(lexicon)), "url_hash")
-    found = found.withColumn("is_ambiguous", ambiguous(F.col("title"), triggers, cues))
+    found = found.withColumn("is_ambiguous", ambiguous(F.col("title"), triggers, cue))
     found = found.withColumn("score", score(F.col("is_ambiguous"), F.col("domain_trust")))
     return found.select("url_hash", "score", "is_ambiguous", "person_hits", "operation_hits", "institution_hits", "keyword_tf_sum", "domain_trust")

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from garimpo.functions import text as texts
 
 
+#: A term in more than 1 / HOT_SHARE of the documents, and in more than HOT_LEAST.
+HOT_SHARE, HOT_LEAST = 100, 100
+
+
 def tokens(docs: DataFrame, text: str = "body") -> DataFrame:
     """(url_hash, tokens) of rows with a text that is not blank."""
     return docs.where(F.trim(text) != "").select("url_hash", texts.analyzed_tokens(text).alias("tokens"))
@@ -72,21 +76,18 @@ def query_idf(n: Column, df: Column) -> Column:
 
 
 def weighted(rows: DataFrame, n: int) -> DataFrame:
-    """Postings with tfidf = tf * ln(N / df), df counted from the rows. The count is
-    joined back by term; both sides share one partitioning by term."""
+    """Postings with tfidf = tf * ln(N / df), df counted from the rows, once each task
+    has counted its own. A term in more than 1 / HOT_SHARE of the documents takes its
+    count from a list sent to every task, so its postings stay where they are: there
+    are at most HOT_SHARE times as many such terms as a document has on average.
+    Other terms meet their count by term."""
     counts = rows.groupBy("term").agg(F.count("*").alias("__df"))
-    joined = rows.join(counts, "term")
-    return joined.withColumn("tfidf", F.col("tf") * index_idf(F.lit(float(n)), F.col("__df"))).drop("__df")
+    hot = counts.where(F.col("__df") > max(HOT_LEAST, n // HOT_SHARE))
+    common = rows.join(F.broadcast(hot), "term")
+    others = rows.join(F.broadcast(hot.select("term")), "term", "left_anti").join(counts, "term")
+    return common.unionByName(others).withColumn("tfidf", F.col("tf") * index_idf(F.lit(float(n)), F.col("__df"))).drop("__df")
 
 
 def metrics(rows: DataFrame) -> DataFrame:
     """(documents, tokens, terms) of postings, from one row per term and document."""
     return rows.agg(F.count_distinct("url_hash").alias("documents"), F.sum("tf").alias("tokens"), F.count_distinct("term").alias("terms"))
-
-
-def save(rows: DataFrame, name: str, buckets: int, key: str = "term") -> None:
-    """Write postings as a table bucketed by ``key``: term lookups read one bucket,
-    and joins on the key need no shuffle. Keep one copy by term, ordered by weight,
-    and one by url_hash."""
-    order = [key, "tfidf"] if key == "term" else [key]
-    rows.write.mode("overwrite").bucketBy(buckets, key).sortBy(*order).format("parquet").saveAsTable(name)

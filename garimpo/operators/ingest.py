@@ -26,6 +26,14 @@ def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
     return latest(old.unionByName(fresh, allowMissingColumns=True))
 
 
+def saw(seen: DataFrame, rows: DataFrame) -> DataFrame:
+    """``seen`` (url_hash, collected_at, score) after ``rows`` were landed: the newest
+    entry of each key. A landed row has no score yet; of equal times the one with a
+    score stays."""
+    both = seen.select("url_hash", "collected_at", "score").union(rows.select("url_hash", "collected_at", F.lit(None).cast("int")))
+    return both.groupBy("url_hash").agg(F.max(F.struct("collected_at", "score")).alias("x")).select("url_hash", "x.collected_at", "x.score")
+
+
 def should_consume(urls: DataFrame, seen: DataFrame, now: datetime | Column, mode: str = "intended") -> DataFrame:
     """``urls`` (url_hash) with the flag ``consume``, against seen (url_hash,
     collected_at, score).
@@ -44,8 +52,9 @@ def should_consume(urls: DataFrame, seen: DataFrame, now: datetime | Column, mod
 
 def mark_indexed(docs: DataFrame, done: DataFrame, now: datetime | Column) -> DataFrame:
     """``docs`` with indexed_at set for the versions (url_hash, collected_at) in
-    ``done``; a version collected again meanwhile stays pending."""
+    ``done``; a version collected again meanwhile stays pending. A null key or time is
+    a value as any other."""
     moment = now if isinstance(now, Column) else F.lit(now)
-    state = done.select("url_hash", "collected_at").distinct().withColumn("__done", moment)
-    joined = docs.join(state, ["url_hash", "collected_at"], "left")
-    return joined.withColumn("indexed_at", F.coalesce("__done", "indexed_at")).drop("__done")
+    state = done.select(F.col("url_hash").alias("__key"), F.col("collected_at").alias("__at")).distinct().withColumn("__done", moment)
+    joined = docs.join(state, F.col("url_hash").eqNullSafe(F.col("__key")) & F.col("collected_at").eqNullSafe(F.col("__at")), "left")
+    return joined.withColumn("indexed_at", F.coalesce("__done", "indexed_at")).select(docs.columns)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from garimpo.functions import text as texts
 from garimpo.functions import url as urls
 from garimpo.operators import context as contexts
+from garimpo.operators.stored import PlainIndex, StoredIndex
+from garimpo.session import written
 
 COUNT, MOST, POOL, LEAST_CONTEXT, PREVIEW = 12, 50, 50, 0.2, 300
 
@@ -22,12 +24,13 @@ def recent(docs: DataFrame, count: int | None = COUNT) -> DataFrame:
     return _shown(docs.orderBy(F.col("collected_at").desc(), "url_hash").limit(size))
 
 
-def recent_filtered(docs: DataFrame, postings: DataFrame, lexicon: DataFrame, trust: DataFrame, triggers: list[str] | None = None, limit: int = COUNT, pool: int = POOL, least: float = LEAST_CONTEXT) -> DataFrame:
+def recent_filtered(docs: DataFrame, postings: DataFrame | StoredIndex, lexicon: DataFrame, trust: DataFrame, triggers: list[str] | None = None, limit: int = COUNT, pool: int = POOL, least: float = LEAST_CONTEXT) -> DataFrame:
     """Of the ``pool`` newest documents with a context stem, those that are not
     ambiguous and have a context score of at least ``least``, newest first."""
+    source = PlainIndex(postings, 0) if isinstance(postings, DataFrame) else postings
     stems = contexts.lexicon_stems(lexicon)
-    newest = docs.join(contexts.context_documents(postings, stems), "url_hash", "left_semi").orderBy(F.col("collected_at").desc(), "url_hash").limit(pool)
-    near = postings.join(newest.select("url_hash"), "url_hash", "left_semi")
+    newest = written(docs.join(source.with_terms(contexts.context_stems(stems)), "url_hash", "left_semi").orderBy(F.col("collected_at").desc(), "url_hash").limit(pool), "newest")
+    near = source.of_documents([r["url_hash"] for r in newest.select("url_hash").collect()])  # at most the pool
     analysis = contexts.analysis(newest, near, lexicon, trust, triggers or [])
     good = newest.join(analysis.where((~F.col("is_ambiguous")) & (F.col("score") >= least)).select("url_hash", "score"), "url_hash")
     return _shown(good.orderBy(F.col("collected_at").desc(), F.col("score").desc(), "url_hash").limit(limit))

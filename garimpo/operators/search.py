@@ -17,6 +17,7 @@ from garimpo.functions import text as texts
 from garimpo.functions import url as urls
 from garimpo.operators import context as contexts
 from garimpo.operators.index import query_idf
+from garimpo.operators.stored import PlainIndex, StoredIndex
 from garimpo.session import written
 
 #: Fixed values of the ranking.
@@ -73,10 +74,11 @@ def in_range(time: Column, start: date | None, end: date | None) -> Column:
     return found
 
 
-def query_df(postings: DataFrame, query: Query) -> DataFrame:
+def query_df(postings: DataFrame | PlainIndex | StoredIndex, query: Query) -> DataFrame:
     """(term, df) of every query term, 0 for terms that no posting has."""
-    terms = term_table(postings.sparkSession, query).select("term")
-    counts = postings.where(F.col("term").isin(query.terms)).groupBy("term").agg(F.count("*").alias("df"))
+    source = PlainIndex(postings, 0) if isinstance(postings, DataFrame) else postings
+    terms = term_table(source.spark, query).select("term")
+    counts = source.counters(query.terms)
     return terms.join(counts, "term", "left").select("term", F.coalesce("df", F.lit(0)).alias("df"))
 
 
@@ -169,10 +171,17 @@ def hit(rows: DataFrame) -> DataFrame:
 
 def fallback_matches(docs: DataFrame, raw: list[str], limit: int = FALLBACK) -> DataFrame:
     """Documents with one of the raw words as a whole word in body or title: the
-    first by key. Words are runs of letters, digits and underscores."""
-    found = docs.withColumn("__w", texts.word_array(F.concat_ws(" ", "body", "title")))
-    wanted = F.array(*[F.lit(t.lower()) for t in raw]) if raw else F.array().cast("array<string>")
-    return found.where(F.arrays_overlap("__w", wanted)).orderBy("url_hash").limit(limit).drop("__w")
+    first by key. Words are runs of letters, digits and underscores. Only texts that
+    contain a word's letters are cut into words."""
+    text = F.concat_ws(" ", "body", "title")
+    wanted = [t.lower() for t in raw]
+    if not wanted:
+        return docs.limit(0)
+    near = F.lit(False)
+    for token in wanted:
+        near = near | F.contains(F.lower(text), F.lit(token))
+    found = docs.where(near).where(F.arrays_overlap(texts.word_array(text), F.array(*map(F.lit, wanted))))
+    return found.orderBy("url_hash").limit(limit)
 
 
 def fallback_scores(docs: DataFrame, raw: list[str]) -> DataFrame:
@@ -194,7 +203,7 @@ def fallback_scores(docs: DataFrame, raw: list[str]) -> DataFrame:
 
 def search(
     docs: DataFrame,
-    postings: DataFrame,
+    postings: DataFrame | StoredIndex,
     lexicon: DataFrame,
     trust: DataFrame,
     text: str | Query,
@@ -206,29 +215,33 @@ def search(
     sort: str = "relevance",
     triggers: list[str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(hits, meta) of a query over docs (one row per url_hash) and their postings.
+    """(hits, meta) of a query over docs (one row per url_hash) and their postings: a
+    stored index, of which only the buckets of the query's terms and of the pool's
+    documents are read, or a table of weighted postings.
 
     Without any matching posting the whole-word scan of the texts answers; a date
     range without documents gives no hit. ``sort`` is relevance or latest."""
     if sort not in ("relevance", "latest"):
         raise ValueError(f"unknown sort {sort}")
     query = text if isinstance(text, Query) else Query.parse(text)
+    source = PlainIndex(postings, docs.count()) if isinstance(postings, DataFrame) else postings
     dated = bool(start or end)
     allowed = docs.where(in_range(F.col("collected_at"), start, end)) if dated else docs
-    rows = postings.where(F.col("term").isin(query.terms))
-    if dated:
-        rows = rows.join(allowed.select("url_hash"), "url_hash", "left_semi")
-    hits = written(top_postings(rows, query, None if dated else TOP_POSTINGS), "hits")
-    vector = query_vector(query_df(postings, query), docs.count())
-    scores = written(base_scores(hits, vector, query), "scores")
-    if not query.terms or scores.isEmpty():
+    found: list[str] = []
+    if query.terms:
+        rows = source.of_terms(query.terms)
+        if dated:
+            rows = rows.join(allowed.select("url_hash"), "url_hash", "left_semi")
+        hits = written(top_postings(rows, query, None if dated else TOP_POSTINGS), "hits")
+        vector = query_vector(query_df(source, query), source.documents)
+        candidates = written(pool(base_scores(hits, vector, query), POOL_FILTERED if dated else POOL), "pool")
+        found = [r["url_hash"] for r in candidates.select("url_hash").collect()]  # at most the pool
+    if not found:
         final = fallback_scores(fallback_matches(allowed, query.raw), query.raw)
     else:
-        candidates = pool(scores, POOL_FILTERED if dated else POOL)
-        hydrated = candidates.select("url_hash").join(docs.select("url_hash", "url", "title"), "url_hash")
-        near = postings.join(candidates.select("url_hash"), "url_hash", "left_semi")
-        analysis = contexts.analysis(hydrated, near, lexicon, trust, triggers or [])
-        final = cascade(blend(candidates, docs, analysis), LEAST_SCORE_FILTERED if dated else LEAST_SCORE)
+        pooled = written(docs.where(F.col("url_hash").isin(found)), "pooled")
+        analysis = contexts.analysis(pooled, source.of_documents(found), lexicon, trust, triggers or [])
+        final = cascade(blend(candidates, pooled, analysis), LEAST_SCORE_FILTERED if dated else LEAST_SCORE)
         final = final.join(matched_terms(hits), "url_hash", "left")
     shown = page_of(final, page, page_size, sort)
     return hit(shown), page_meta(final, page, page_size)

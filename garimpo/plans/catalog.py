@@ -8,7 +8,7 @@ microseconds so that both engines compare alike.
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,10 +17,12 @@ from garimpo.functions import html as pages
 from garimpo.functions import text as texts
 from garimpo.functions import url as urls
 from garimpo.operators import adhoc, context, index, ingest, recent, search
+from garimpo.operators.stored import StoredIndex
 from garimpo.plans import sql
-from garimpo.session import written
+from garimpo.session import prepared, temporary, written
 from garimpo.sources import tables
-from garimpo.sources.tables import table
+from garimpo.sources.tables import DOCUMENTS, SEEN, table
+from garimpo.streaming import pipeline
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -35,6 +37,7 @@ PARTS = sql.pieces(QUERY, TRIGGERS)
 DATED = sql.pieces(QUERY, TRIGGERS, DATES, limit=False)
 PLAIN = sql.pieces(NO_INDEX, TRIGGERS)
 PAGE, SIZE = 2, 10
+HREFS = ["/a/../b?x=1#y", "p.html", "../q/", "//C.example/k", "https://d.example/x", "#top", "", "mailto:x@y.example", "?z=2", " ./r "]
 
 
 def query(statement: str | None = None, parts: dict[str, str] = PARTS):
@@ -72,10 +75,23 @@ def index_of(s: SparkSession, d: str, docs: DataFrame | None = None) -> DataFram
     return written(index.weighted(rows, docs.count()), "index")
 
 
-def searched(s: SparkSession, d: str, **options) -> tuple[DataFrame, DataFrame]:
-    docs = written(docs_of(s, d), "docs")
-    found = search.search(docs, index_of(s, d, docs), table(s, d, "lexicon"), table(s, d, "domain_trust"), QUERY, triggers=TRIGGERS, **options)
-    return found
+_served: dict[tuple[str, str], tuple[DataFrame, StoredIndex]] = {}
+
+
+def served(s: SparkSession, d: str) -> tuple[DataFrame, StoredIndex]:
+    """The documents, and the index stored of them by the first query that asks."""
+    place = (s.sparkContext.applicationId, d)
+    if place not in _served:
+        docs = written(docs_of(s, d).repartitionByRange("url_hash").sortWithinPartitions("url_hash"), "docs")
+        stored = StoredIndex(s, temporary(s, "index"), buckets=32)
+        stored.add(docs.where("url_hash IS NOT NULL"), docs.count())
+        _served[place] = docs, stored
+    return _served[place]
+
+
+def searched(s: SparkSession, d: str, query: search.Query = QUERY, **options) -> tuple[DataFrame, DataFrame]:
+    docs, stored = served(s, d)
+    return search.search(docs, stored, table(s, d, "lexicon"), table(s, d, "domain_trust"), query, triggers=TRIGGERS, **options)
 
 
 def shown_hits(rows: DataFrame) -> DataFrame:
@@ -197,9 +213,40 @@ def html_links(s, d):
     return landed(s, d).select("seq", F.explode(pages.links(html_of())).alias("link"))
 
 
-@query()
+@query(f"SELECT seq, url, h AS href, {sql.resolved('h', 'url')} AS link FROM documents_in, (SELECT unnest([{sql.listed(HREFS)}]) AS h)")
+def links_resolved(s, d):
+    rows = landed(s, d).select("seq", "url", F.explode(F.array(*map(F.lit, HREFS))).alias("href"))
+    return rows.select("seq", "url", "href", pages.resolved(F.col("href"), F.col("url")).alias("link"))
+
+
+@query("SELECT seq, coalesce(contains(lower(m), 'xml'), FALSE) OR coalesce(contains(lower(url), 'sitemap'), FALSE) AS feed FROM (SELECT seq, CASE WHEN seq % 5 = 0 THEN url || '/Sitemap.txt' ELSE url END AS url, CASE seq % 4 WHEN 0 THEN 'text/html' WHEN 1 THEN 'application/RSS+XML' WHEN 2 THEN 'text/xml; charset=utf-8' END AS m FROM documents_in)")
+def feed_route(s, d):
+    kind = F.when(F.col("seq") % 4 == 0, "text/html").when(F.col("seq") % 4 == 1, "application/RSS+XML").when(F.col("seq") % 4 == 2, "text/xml; charset=utf-8")
+    address = F.when(F.col("seq") % 5 == 0, F.concat("url", F.lit("/Sitemap.txt"))).otherwise(F.col("url"))
+    return landed(s, d).select("seq", tables.is_feed(kind, address).alias("feed"))
+
+
+def full_page_of() -> Column:
+    """A page with entities, removed classes on several tags, nested markup, a comment
+    and, in every other row, a content element before paragraphs outside it."""
+    safe = lambda c: F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&#62;"))
+    lines = F.replace(safe("body"), F.lit("\n"), F.lit("</b></p>\n<p class='t'><b>"))
+    head = F.concat(F.lit("<!DOCTYPE html><html><body><div class='a site-header'><div><p>menu</p><h1>fora</h1></div></div><!-- <p>x</p> --><h1>"), safe("title"), F.lit("</h1>"))
+    inside = F.when(F.col("seq") % 2 == 0, F.lit("<div class='x entry-content'>")).otherwise(F.lit("<div>"))
+    after = F.lit("</b></p><section class='most-read b'><p>1</p></section><nav><p>n</p></nav></div><p>autor<br>e data</p><div class='newsletter-embed'><p>assine</p></div></body></html>")
+    return F.concat(head, inside, F.lit("<p><b>"), lines, after)
+
+
+def _trimmed(text: str) -> str:
+    return f"regexp_replace({text}, '^\\s+|\\s+$', '', 'g')"
+
+
+LINES = f"list_transform(string_split(coalesce(body, ''), chr(10)), lambda x: {_trimmed('x')})"
+
+
+@query(f"SELECT seq, {_trimmed('title')} AS title, array_to_string({LINES}, ' ') || CASE WHEN seq % 2 = 0 THEN '' ELSE ' autore data' END AS body FROM (SELECT seq, coalesce(title, '') AS title, body FROM documents_in)")
 def html_extract(s, d):
-    return landed(s, d).select("seq", pages.extract(html_of()).alias("x")).select("seq", "x.title", "x.body", F.array_join("x.links", " ").alias("links"))
+    return landed(s, d).select("seq", pages.extract(full_page_of()).alias("x")).select("seq", "x.title", "x.body")
 
 
 @query("SELECT seq, trim(url) AS link FROM documents_in WHERE regexp_matches(trim(url), '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]')")
@@ -259,10 +306,9 @@ def raw_tokens(s, d):
     return landed(s, d).select("seq", F.explode(texts.raw_tokens("body")).alias("token"))
 
 
-@query(f"SELECT seq, array_to_string({sql.tokens('title')}, ' ') AS stemmed, (SELECT string_agg(token, ' ' ORDER BY first) FROM (SELECT token, min(i) AS first FROM (SELECT unnest(r) AS token, unnest(range(len(r))) AS i) GROUP BY token)) AS raw FROM (SELECT seq, title, {sql.raw('title')} AS r FROM documents_in WHERE regexp_matches(title, '\\p{{L}}{{3}}'))")
+@query(f"SELECT seq, array_to_string({sql.tokens('title')}, ' ') AS stemmed, coalesce((SELECT string_agg(token, ' ' ORDER BY first) FROM (SELECT token, min(i) AS first FROM (SELECT unnest(r) AS token, unnest(range(len(r))) AS i) GROUP BY token)), CASE WHEN title IS NOT NULL THEN '' END) AS raw FROM (SELECT seq, title, {sql.raw('title')} AS r FROM documents_in)")
 def dual_tokens(s, d):
-    rows = landed(s, d).where(F.col("title").rlike(r"\p{L}{3}"))
-    return rows.select("seq", F.array_join(texts.analyzed_tokens("title"), " ").alias("stemmed"), F.array_join(texts.raw_tokens("title"), " ").alias("raw"))
+    return landed(s, d).select("seq", F.array_join(texts.analyzed_tokens("title"), " ").alias("stemmed"), F.array_join(texts.raw_tokens("title"), " ").alias("raw"))
 
 
 @query(f"SELECT CAST(i AS BIGINT) AS position, list_transform(s, lambda x: x)[i + 1] AS stem, r[i + 1] AS raw FROM (SELECT {sql.tokens(sql.quote(TEXT))} AS s, {sql.raw(sql.quote(TEXT))} AS r), range(greatest(len(s), len(r))) AS x(i)")
@@ -504,10 +550,12 @@ def fallback_score(s, d):
     return search.fallback_scores(docs, NO_INDEX.raw).select("url_hash", F.round("final", 6).alias("score"))
 
 
-@query()
+FALLBACK_TERMS = f"array_to_string(list_sort(list_filter([{sql.listed(NO_INDEX.raw)}], lambda t: list_contains(w, t))), ' ')"
+
+
+@query(f"SELECT url_hash AS id, url, {sql.domain('url')} AS domain, title, {sql.preview('body', 400)} AS preview, round(final, 6) AS score, epoch_us(collected_at) AS collected_at, {FALLBACK_TERMS} AS matched_terms FROM (SELECT *, ({FALLBACK}) * ({FOUND}) / {len(NO_INDEX.raw)} AS final FROM fb_docs) f WHERE final > 0 ORDER BY final DESC, url_hash LIMIT 10", PLAIN)
 def search_fallback(s, d):
-    missing = search.Query(groups=[["zzzrobôzzz"]], raw=NO_INDEX.raw)
-    return shown_hits(search.search(docs_of(s, d), index_of(s, d), table(s, d, "lexicon"), table(s, d, "domain_trust"), missing)[0])
+    return shown_hits(searched(s, d, search.Query(groups=[["zzrobôzz"]], raw=NO_INDEX.raw))[0])
 
 
 @query(f"SELECT b.url_hash AS id, url, {sql.domain('url')} AS domain, round(b.final, 6) AS score FROM blended b")
@@ -538,11 +586,65 @@ def recent_documents(s, d):
 
 @query(f"SELECT {RECENT} FROM (SELECT * FROM (SELECT * FROM context c WHERE url_hash IN (SELECT url_hash FROM idx WHERE term IN (SELECT stem FROM lex)) ORDER BY c.collected_at DESC, url_hash LIMIT 50) p WHERE NOT is_ambiguous AND context >= 0.2 ORDER BY p.collected_at DESC, context DESC, url_hash LIMIT 12) q")
 def recent_filtered(s, d):
-    docs = written(docs_of(s, d), "docs")
-    rows = recent.recent_filtered(docs, index_of(s, d, docs), table(s, d, "lexicon"), table(s, d, "domain_trust"), TRIGGERS)
+    docs, stored = served(s, d)
+    rows = recent.recent_filtered(docs, stored, table(s, d, "lexicon"), table(s, d, "domain_trust"), TRIGGERS)
     return rows.withColumn("collected_at", F.unix_micros("collected_at"))
 
 
+# stored index and landing
+
+
+@query("SELECT term, url_hash, tf, array_to_string(positions, ' ') AS positions FROM built")
+def stored_postings(s, d):
+    """Postings read back from the stored index, after a compaction."""
+    docs, first, _ = landing(s, d)
+    stored = StoredIndex(s, first.folder, first.buckets)
+    return stored.postings().select("term", "url_hash", "tf", F.array_join(F.col("positions").cast("array<string>"), " ").alias("positions"))
+
+
+@query("SELECT term, df, cf FROM vocab")
+def stored_counters(s, d):
+    return landing(s, d)[1].counters()
+
+
+@query("SELECT term, url_hash, tf, round(tfidf, 6) AS tfidf FROM idx WHERE term IN (SELECT term FROM terms)")
+def stored_lookup(s, d):
+    """Postings of a few terms: only their buckets are read."""
+    return served(s, d)[1].of_terms(QUERY.terms).select("term", "url_hash", "tf", F.round("tfidf", 6).alias("tfidf"))
+
+
+_landed: dict[tuple[str, str], tuple[pipeline.Landed, StoredIndex, pipeline.Landed]] = {}
+
+
+def landing(s: SparkSession, d: str) -> tuple[pipeline.Landed, StoredIndex, pipeline.Landed]:
+    """(documents, index, last seen) after documents_in was streamed in four batches,
+    each with an index cycle."""
+    place = (s.sparkContext.applicationId, d)
+    if place not in _landed:
+        folder = temporary(s, "landing")
+        quarter = F.pmod(F.col("seq"), F.lit(4))
+        for k in range(4):
+            landed(s, d).where(quarter == k).coalesce(1).write.parquet(f"{folder}/in/{k}")
+        docs, seen = pipeline.Landed(s, f"{folder}/documents", DOCUMENTS, buckets=8), pipeline.Landed(s, f"{folder}/seen", SEEN, buckets=8)
+        stored = StoredIndex(s, f"{folder}/index", buckets=8)
+        rows = prepared(s).readStream.schema(DOCUMENTS).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
+        after = pipeline.cycle_after(docs, stored, lambda: datetime.fromisoformat(NOW))
+        pipeline.land(rows, docs, f"{folder}/checkpoint", seen=seen, after=after).awaitTermination()
+        stored.compact()
+        _landed[place] = docs, stored, seen
+    return _landed[place]
+
+
+@query(f"SELECT seq, url_hash, url, title, body, epoch_us(collected_at) AS collected_at, epoch_us(TIMESTAMPTZ '{NOW}') AS indexed_at FROM docs")
+def stream_landing(s, d):
+    return landing(s, d)[0].read().select("seq", "url_hash", "url", "title", "body", micros("collected_at"), micros("indexed_at"))
+
+
+@query("SELECT url_hash, epoch_us(max(collected_at)) AS collected_at FROM documents_in WHERE url_hash IS NOT NULL GROUP BY url_hash")
+def stream_seen(s, d):
+    return landing(s, d)[2].read().select("url_hash", micros("collected_at"))
+
+
 KEYWORDS = "SELECT url_hash, CAST(coalesce((SELECT sum(weight) FROM (SELECT lower(term) AS term, max(weight) AS weight FROM lexicon WHERE category = 'keyword' AND term IS NOT NULL GROUP BY 1) k WHERE contains(lower(concat_ws(' ', d.title, d.body)), k.term)), 0) AS BIGINT) AS relevance FROM docs d"
 
 

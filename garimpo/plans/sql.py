@@ -55,6 +55,22 @@ def html(title: str = "title", body: str = "body", url: str = "url") -> str:
     )
 
 
+ROOT = quote(pages.ROOT)
+
+
+def resolved(href: str, base: str) -> str:
+    """An href against its page, for pages and hrefs whose dots lie in the path."""
+    link = f"regexp_replace(trim({href}), '#.*$', '')"
+    root, path = f"regexp_extract({base}, {ROOT}, 1)", f"regexp_replace(regexp_replace({base}, {ROOT}, ''), '[?#].*$', '')"
+    folder = f"{root} || CASE WHEN {path} = '' THEN '/' ELSE regexp_replace({path}, '[^/]*$', '') END"
+    joined = (
+        f"CASE WHEN regexp_matches({link}, '^[A-Za-z][A-Za-z0-9+.\\-]*:') THEN {link} WHEN {root} = '' THEN NULL WHEN {link} LIKE '//%' THEN regexp_extract({root}, '^[^:]*:') || {link} "
+        f"WHEN {link} LIKE '/%' THEN {root} || {link} WHEN {link} LIKE '?%' THEN {root} || CASE WHEN {path} = '' THEN '/' ELSE {path} END || {link} ELSE {folder} || {link} END"
+    )
+    clean = f"regexp_replace(regexp_replace(regexp_replace({joined}, '/\\./', '/'), '(://[^/]*(?:/[^/?]+)*?)/[^/?]+/\\.\\./', '\\1/'), '(://[^/]*)/\\.\\./', '\\1/')"
+    return f"CASE WHEN {link} <> '' AND regexp_matches({joined}, '^(?i:https?)://[^/?#]') THEN {clean} END"
+
+
 def strip(column: str) -> str:
     return f"regexp_replace({column}, {quote(pages.STRIP)}, ' ', 'g')"
 

@@ -1,0 +1,31 @@
+"""Small helpers for folders of any file system that Spark can reach."""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+
+def _at(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target, files = _at(spark, path)
+    return files.exists(target)
+
+
+def complete(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to its end."""
+    return exists(spark, f"{path}/_SUCCESS")
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if there is no such folder."""
+    target, files = _at(spark, path)
+    return sorted(s.getPath().getName() for s in files.listStatus(target)) if files.exists(target) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    target, files = _at(spark, path)
+    files.delete(target, True)

@@ -11,6 +11,7 @@ from garimpo.session import prepared
 DOCUMENTS = StructType(
     [StructField("seq", LongType()), *[StructField(c, StringType()) for c in ("url_hash", "url", "title", "body")], StructField("collected_at", TimestampType()), StructField("indexed_at", TimestampType())]
 )
+SEEN = StructType([StructField("url_hash", StringType()), StructField("collected_at", TimestampType()), StructField("score", IntegerType())])
 POSTINGS = StructType(
     [StructField("term", StringType()), StructField("url_hash", StringType()), StructField("tf", LongType()), StructField("positions", ArrayType(IntegerType())), StructField("tfidf", DoubleType())]
 )
@@ -40,6 +41,12 @@ def succeeded(pages: DataFrame, status: str = "status") -> DataFrame:
     return pages.where(F.col(status).between(200, 299))
 
 
+def is_feed(media_type: Column, uri: Column) -> Column:
+    """Whether a page is read as a feed: its media type holds ``xml`` or its address
+    ``sitemap``, in any case; a null holds nothing."""
+    return F.coalesce(F.lower(media_type).contains("xml"), F.lit(False)) | F.coalesce(F.lower(uri).contains("sitemap"), F.lit(False))
+
+
 def rendered(url: Column, hosts: list[str]) -> Column:
     """Whether a page needs a rendering source: its host is one of ``hosts``."""
     from garimpo.functions.url import host

@@ -1,6 +1,9 @@
+from urllib.parse import urldefrag, urljoin
+
 from pyspark.sql import functions as F
 
 from garimpo.functions import html, url
+from garimpo.sources import tables
 
 PAGE = """<html><body><nav><p>menu</p></nav><h1>Tí<b>tulo</b> &amp; mais</h1><script>var t="</p>";</script>
 <p>um<p> dois <a href="/x">link</a></p><div class="ad related-posts"><p>fora</p></div><footer><p>fim</p></footer></body></html>"""
@@ -25,6 +28,23 @@ def test_parser_follows_classes_and_entities(spark):
     assert (row["title"], row["body"]) == ("Título & mais", "um dois link")
 
 
+def test_links_resolve_as_a_browser_does(spark):
+    bases = ["https://a.example/x/y.html?q=1", "http://b.example", "http://b.example/d/"]
+    hrefs = ["/p", "p.html", "../u", "./v/", "//c.example/k", "https://d.example/q#f", "#top", "", "mailto:x@y", " a/../b ", "../../..", "http://e.example", "p/./q/."]
+    frame = spark.createDataFrame([(b, h) for b in bases for h in hrefs], "b string, h string")
+    for r in frame.withColumn("got", html.resolved(F.col("h"), F.col("b"))).collect():
+        link = urldefrag(r["h"].strip())[0]
+        want = urljoin(r["b"], link) if link else None
+        assert r["got"] == (want if want and want.startswith("http") else None), r
+    odd = spark.createDataFrame([("sem host", "/p"), (None, "/p"), ("http://b.example", None), (None, "http://e.example/q")], "b string, h string")
+    assert [r[0] for r in odd.select(html.resolved(F.col("h"), F.col("b"))).collect()] == [None, None, None, "http://e.example/q"]
+
+
+def test_feeds_are_routed_by_type_or_address(spark):
+    frame = spark.createDataFrame([("text/XML", "x"), ("text/html", "https://a.example/Sitemap.txt"), ("text/html", "x"), (None, None)], "m string, u string")
+    assert [r[0] for r in frame.select(tables.is_feed(F.col("m"), F.col("u"))).collect()] == [True, True, False, False]
+
+
 def test_feed_links(spark):
     feed = '<rss><channel><item><link> https://a.example/1 </link></item><item><title>x</title></item><item><link>/rel</link></item></channel></rss>'
     assert one(spark, feed, html.rss_links(F.col("h"))) == ["https://a.example/1"]

@@ -81,15 +81,16 @@ def test_mark_indexed_leaves_newer_versions_pending(spark):
     assert found["a"] is None and found["b"] is not None
 
 
-def test_saved_postings_are_bucketed_and_joins_on_the_key_do_not_shuffle(spark, tmp_path):
-    rows = index.weighted(index.postings(spark.createDataFrame([("a", "foo bar"), ("b", "foo")], DOC)), 2)
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS saved LOCATION 'file://{tmp_path}/saved'")
-    index.save(rows, "saved.by_term", 4)
-    back = spark.table("saved.by_term")
-    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
-    plan = back.groupBy("term").count()._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan
-    spark.sql("DROP DATABASE saved CASCADE")
+def test_a_term_of_all_documents_is_weighted_where_it_stands(spark):
+    docs = spark.range(3000).selectExpr("concat('d', id) AS url_hash", "concat('hot raro', id % 700, ' palavra', id) AS body")
+    rows = index.postings(docs)
+    found = index.weighted(rows, 3000)
+    assert found.count() == 9000 and found.where("term = 'hot' AND tfidf = 0").count() == 3000
+    other = found.where("term != 'hot'").select("term", F.round("tfidf", 6).alias("w"))
+    counts = index.vocabulary(rows).select("term", F.round(F.ln(F.lit(3000.0) / F.col("df")), 6).alias("w"))
+    assert other.distinct().exceptAll(counts).count() == 0
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
 
 
 def test_metrics(spark):

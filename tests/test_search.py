@@ -91,7 +91,7 @@ def test_context_score_and_ambiguity(spark):
     frame = spark.createDataFrame([(1, 2, 5, 10, 1.5, False), (0, 1, 0, 0, 1.5, True)], "person_hits long, operation_hits long, institution_hits long, keyword_tf_sum long, t double, amb boolean")
     assert [round(r[0], 6) for r in frame.select(context.score(F.col("amb"), F.col("t"))).collect()] == [3.45, 0.15]
     titles = spark.createDataFrame([("Lava Filme", 0, 1, 0), ("lava filme", 0, 2, 0), ("lava", 0, 0, 0), (None, 0, 0, 0)], "t string, person_hits long, operation_hits long, institution_hits long")
-    assert [r[0] for r in titles.select(context.ambiguous(F.col("t"), ["lava"], ["filme"])).collect()] == [True, False, False, False]
+    assert [r[0] for r in titles.select(context.ambiguous(F.col("t"), ["lava"], context.phrase_weight(spark, F.col("t"), {"filme": 1}) > 0)).collect()] == [True, False, False, False]
 
 
 def corpus(spark):
@@ -128,3 +128,18 @@ def test_page_window_and_figures(spark):
     scores = adhoc.keyword_scores(corpus(spark), lexicon(spark))
     assert [tuple(r) for r in scores.collect()] == [("a", 3)]
     assert adhoc.average(scores).first()[0] == 3.0
+
+
+def test_phrases_are_found_once_each_and_may_be_none(spark):
+    frame = spark.createDataFrame([("Filme e filmes da LICITAÇÃO",), ("",), (None,), ("nada",)], "t string")
+    table = spark.createDataFrame([("filme", 2), ("FILME", 5), ("licitação", 1), (None, 9), ("", 9)], "term string, weight int")
+    phrases = context.phrases_of(table, "term", "weight")
+    assert phrases == {"filme": 5, "licitação": 1}
+    assert [r[0] for r in frame.select(context.phrase_weight(spark, F.col("t"), phrases)).collect()] == [6, 0, None, 0]
+    assert [r[0] for r in frame.select(context.phrase_weight(spark, F.col("t"), {})).collect()] == [0, 0, None, 0]
+
+
+def test_the_fallback_cuts_only_texts_that_contain_a_word(spark):
+    docs = spark.createDataFrame([("a", "t", "robô aqui"), ("b", "t", "robôs"), ("c", "Robô", None), ("d", None, None)], "url_hash string, title string, body string")
+    assert [r["url_hash"] for r in search.fallback_matches(docs, ["robô"]).collect()] == ["a", "c"]
+    assert search.fallback_matches(docs, []).collect() == []
