@@ -58,19 +58,19 @@ def running_text(line: str) -> bool:
 
 
 def sketches(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(registers, bands) of each text: 32 bits of the smallest hash in every bucket,
+    """(registers, bands) of each text: 16 bits of the smallest hash in every bucket,
     0 for an empty one; and a key of each band, 0 where one of its registers is
     empty. The last key is that of the whole text."""
     flat, ends = hasher()(texts)
     values, inside = shingles(flat, WIDTH)
     owner = np.searchsorted(ends, np.flatnonzero(inside))
     values, n = values[inside], len(texts)
-    out = np.zeros((n, BUCKETS, REPEATS), np.uint32)
+    out = np.zeros((n, BUCKETS, REPEATS), np.uint16)
     for r in range(REPEATS):
         h = mix(values + U64((r + 1) * int(STEP) & 0xFFFFFFFFFFFFFFFF))
         low = np.full(n * BUCKETS, ~U64(0), U64)
         np.minimum.at(low, owner * BUCKETS + (h & U64(BUCKETS - 1)).astype(np.int64), h >> U64(4))
-        out[:, :, r] = np.where(low == ~U64(0), U64(0), (mix(low) | U64(1)) & U64(0xFFFFFFFF)).astype(np.uint32).reshape(n, BUCKETS)
+        out[:, :, r] = np.where(low == ~U64(0), U64(0), (mix(low) | U64(1)) & U64(0xFFFF)).astype(np.uint16).reshape(n, BUCKETS)
     bands = np.full((n, BUCKETS), 0, U64)
     for r in range(REPEATS):
         bands = mix(bands * STEP + out[:, :, r].astype(U64) + U64(1))
@@ -88,7 +88,7 @@ def _alike(pairs: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(-1, REGISTERS) for k in ("sa", "sb"))
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, REGISTERS) for k in ("sa", "sb"))
             used = ((x != 0) | (y != 0)).sum(axis=1)
             keep = pa.array(((x == y) & (x != 0)).sum(axis=1) >= ALIKE * used)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])

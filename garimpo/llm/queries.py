@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from garimpo.functions import text as texts
 from garimpo.llm import batch_dedup, boilerplate, frequencies, leaks, mixing, near_duplicates, quality, repeated_lines, residue
 from garimpo.session import prepared
 
@@ -37,6 +38,12 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return p3_terms(spark, folder).where("mark IS NOT NULL").select("term", "mark")
 
 
+def p3_ngrams(spark: SparkSession, folder: str) -> DataFrame:
+    """Every n-gram of up to three words of the titles, a page being a record."""
+    pages = table(spark, folder, "documents_in").select("url_hash", texts.word_array(F.col("title")).alias("words"))
+    return frequencies.ngram_counts(pages, "url_hash", "words", 3)
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_lines.repeated_lines(table(spark, folder, "documents_in"), "seq", "url", "url_hash", "body").withColumnRenamed("id", "seq")
 
@@ -87,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_residue": p2_residue,
     "p3_found": p3_found,
     "p3_terms": p3_terms,
+    "p3_ngrams": p3_ngrams,
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_groups": p5_groups,

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -227,26 +227,37 @@ def fit(docs: DataFrame, id_col: str, text: str, sample_rows: int = SAMPLE_ROWS)
     return Residue(counts)
 
 
+class LineFeatures:
+    """What a caller wants to know of every line, from one function of the line."""
+
+    def __init__(self, schema: str, types: list[pa.DataType], function: Callable[[], Callable[[str, bool], tuple]]) -> None:
+        self.schema, self.types, self.function = schema, types, function
+        self.names = [part.split(":")[0] for part in schema.split(", ")]
+
+
 PAGE = "row long, id long, site long, own long, residue int, prose int, slot boolean, bands array<long>, sketch binary, lines array<long>, text string"
 
 
-def scored_pages(docs: DataFrame, model: Shared, *, texts: bool) -> DataFrame:
+def scored_pages(docs: DataFrame, model: Shared, features: LineFeatures | None = None) -> DataFrame:
     """(row, id, site, title, body) to one row per page: residue and prose characters
-    of the body, open slots in title or body, and what ``house_lines`` reads. The text
-    stays with the pages that hold both residue and prose, or with all of them."""
+    of the body, open slots in title or body, what ``house_lines`` reads, and the
+    ``features`` of each line, if asked for. The text stays with the pages that hold
+    both residue and prose."""
+    schema = PAGE + (f", features array<struct<line_no: int, {features.schema}>>" if features else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         residue_of = model.get()
-        known: dict[str, tuple[int, bool]] = {}
+        more = features.function() if features else lambda line, running: ()
+        known: dict[str, tuple] = {}
         for batch in batches:
             titles = batch.column(3).to_pylist()
             for first, piece in pieces(batch.column(4).to_pylist(), 500_000):
                 residue, prose, slot = residue_of.measure(piece)
                 slot |= residue_of.measure([t or "" for t in titles[first : first + len(piece)]])[2]
-                own, runs, lines = [], [], []
+                own, runs, flat, bounds = [], [], [], [0]
                 for text in piece:
-                    running, keys, longest = [], [], ""
-                    for line in text.split("\n"):
+                    running, longest = [], ""
+                    for number, line in enumerate(text.split("\n")):
                         line = " ".join(line.split())
                         if not line:
                             continue
@@ -256,36 +267,39 @@ def scored_pages(docs: DataFrame, model: Shared, *, texts: bool) -> DataFrame:
                         if found is None:
                             if len(known) > 100_000:
                                 known.clear()
-                            found = known[line] = (line_key(line), running_text(line))
-                        keys.append(found[0])
+                            is_running = running_text(line)
+                            found = known[line] = (line_key(line), is_running, *more(line, is_running))
+                        flat.append((number, *found))
                         if found[1]:
                             running.append(line)
                     runs.append("\n".join(running))
                     own.append(key(runs[-1] or longest))
-                    lines.append(keys)
+                    bounds.append(len(flat))
                 registers, bands = sketches(runs)
                 without = [not r for r in runs]
                 both = (residue >= LEAST_CHARS) & (prose > 0)
-                at = slice(first, first + len(piece))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(batch.column(k).slice(first, len(piece)) for k in range(3)),
-                        pa.array(own, pa.int64()),
-                        pa.array(residue.astype(np.int32)),
-                        pa.array(prose.astype(np.int32)),
-                        pa.array(slot),
-                        pa.array([None if no else b for b, no in zip(bands.tolist(), without)], pa.list_(pa.int64())),
-                        pa.array([None if no else r.tobytes() for r, no in zip(registers, without)], pa.binary()),
-                        pa.array(lines, pa.list_(pa.int64())),
-                        pa.array(batch.column(4).slice(at.start, len(piece)).to_pylist() if texts else [t if b else None for t, b in zip(piece, both)], pa.string()),
-                    ],
-                    [p.split()[0] for p in PAGE.split(", ")],
-                )
-
-    return docs.select("row", "id", "site", "title", "body").mapInArrow(run, PAGE)
-
-
-def judged(docs: DataFrame, id_col: str, title: str, body: str, url: str | None = None, *, sample_rows: int = SAMPLE_ROWS, texts: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+                offsets = pa.array(bounds, pa.int32())
+                columns = list(zip(*flat)) or [[]] * (3 + (len(features.types) if features else 0))
+                arrays = [
+                    *(batch.column(k).slice(first, len(piece)) for k in range(3)),
+                    pa.array(own, pa.int64()),
+                    pa.array(residue.astype(np.int32)),
+                    pa.array(prose.astype(np.int32)),
+                    pa.array(slot),
+                    pa.array([None if no else b for b, no in zip(bands.tolist(), without)], pa.list_(pa.int64())),
+                    pa.array([None if no else r.tobytes() for r, no in zip(registers, without)], pa.binary()),
+                    pa.ListArray.from_arrays(offsets, pa.array(columns[1], pa.int64())),
+                    pa.array([t if b else None for t, b in zip(piece, both)], pa.string()),
+                ]
+                if features:
+                    parts = [pa.array(columns[0], pa.int32()), *(pa.array(c, t) for c, t in zip(columns[3:], features.types))]
+                    arrays.append(pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(parts, ["line_no", *features.names])))
+                yield pa.RecordBatch.from_arrays(arrays, [p.split()[0] for p in PAGE.split(", ")] + ["features"] * bool(features))
+
+    return docs.select("row", "id", "site", "title", "body").mapInArrow(run, schema)
+
+
+def judged(docs: DataFrame, id_col: str, title: str, body: str, url: str | None = None, *, sample_rows: int = SAMPLE_ROWS, features: LineFeatures | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(pages, house, verdicts): the written ``scored_pages``, the lines of the house,
     and (row, id, residue_chars, prose_chars, slot) of every page, where a page that
     holds both residue and prose was measured again without the lines of the house.
@@ -293,7 +307,7 @@ def judged(docs: DataFrame, id_col: str, title: str, body: str, url: str | None
     model = Shared(docs.sparkSession, fit(docs, id_col, body, sample_rows))  # five tables of 2 ** TABLE_BITS ratios
     site = F.xxhash64(urls.domain(F.col(url))) if url else F.lit(0).cast("long")
     source = docs.where(F.col(id_col).isNotNull()).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), site.alias("site"), F.col(title).alias("title"), F.col(body).alias("body"))
-    pages = written(scored_pages(source, model, texts=texts), "pages")
+    pages = written(scored_pages(source, model, features), "pages")
     house = house_lines(pages)
     mixed = (F.col("residue") >= LEAST_CHARS) & (F.col("prose") > 0)
     open_ = pages.where(mixed)
