@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from garimpo.functions import text as texts
-from garimpo.llm import batch_dedup, boilerplate, frequencies, leaks, mixing, near_duplicates, quality, repeated_lines, residue
+from garimpo.llm import batch_dedup, boilerplate, frequencies, leaks, mixing, near_duplicates, quality, repeated_lines, residue, sql
 from garimpo.session import prepared
 
 
@@ -107,4 +107,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p9_statistics": p9_statistics,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = sql.SQL
