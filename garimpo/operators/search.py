@@ -18,7 +18,7 @@ from garimpo.functions import url as urls
 from garimpo.operators import context as contexts
 from garimpo.operators.index import query_idf
 from garimpo.operators.stored import PlainIndex, StoredIndex
-from garimpo.session import written
+from garimpo.session import local_table, written
 
 #: Fixed values of the ranking.
 TOP_POSTINGS, POOL, POOL_FILTERED, CASCADE, FALLBACK = 5000, 500, 5000, 100, 500
@@ -61,7 +61,7 @@ def clamp_size(size: int | None, default: int = PAGE_SIZE) -> int:
 def term_table(spark: SparkSession, query: Query) -> DataFrame:
     """(term, groups): the query's terms with the numbers of their groups."""
     rows = [(t, [i for i, g in enumerate(query.groups) if t in g]) for t in query.terms]
-    return spark.createDataFrame(rows, "term string, groups array<int>")
+    return local_table(spark, rows, "term string, groups array<int>")
 
 
 def in_range(time: Column, start: date | None, end: date | None) -> Column:
@@ -77,9 +77,8 @@ def in_range(time: Column, start: date | None, end: date | None) -> Column:
 def query_df(postings: DataFrame | PlainIndex | StoredIndex, query: Query) -> DataFrame:
     """(term, df) of every query term, 0 for terms that no posting has."""
     source = PlainIndex(postings, 0) if isinstance(postings, DataFrame) else postings
-    terms = term_table(source.spark, query).select("term")
-    counts = source.counters(query.terms)
-    return terms.join(counts, "term", "left").select("term", F.coalesce("df", F.lit(0)).alias("df"))
+    known = source.df(query.terms)
+    return local_table(source.spark, [(t, known.get(t, 0)) for t in query.terms], "term string, df long")
 
 
 def query_vector(df: DataFrame, n: int) -> DataFrame:

@@ -17,6 +17,7 @@ of all.
 
 from __future__ import annotations
 
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +34,7 @@ class StoredIndex:
     def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS) -> None:
         self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
         self.parts: list[int] = []
+        self._asked, self._df = None, {}
         self.documents = 0
         self.refresh()
 
@@ -49,9 +51,9 @@ class StoredIndex:
         return F.pmod(F.xxhash64(column), F.lit(self.buckets)).cast("int")
 
     def _numbers(self, values: list[str]) -> list[int]:
-        """Buckets of a few values; the hash is Spark's own."""
-        rows = self.spark.createDataFrame([(v,) for v in values], "v string").select(self._bucket("v").alias("b")).distinct()
-        return sorted(r["b"] for r in rows.collect())
+        """Buckets of a few values: Spark's xxhash64 of a text is XXH64 with seed 42."""
+        signed = (((h := xxhash.xxh64_intdigest(v.encode(), 42)) ^ 1 << 63) - (1 << 63) for v in values)
+        return sorted({h % self.buckets for h in signed})
 
     def _read(self, name: str, schema: str) -> DataFrame:
         """All parts of a table with their number ``part``."""
@@ -76,16 +78,22 @@ class StoredIndex:
             rows = rows.where(F.col("bucket").isin(self._numbers(terms)) & F.col("term").isin(terms))
         return index.collected(rows.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")))
 
-    def weighted(self, rows: DataFrame, terms: list[str]) -> DataFrame:
-        """Adds ``tfidf`` to postings of the given terms."""
-        counts = self.counters(terms).select("term", "df")
-        found = rows.join(counts, "term")  # as few rows as terms: below Spark's own limit for a broadcast
-        return found.withColumn("tfidf", F.col("tf") * index.index_idf(F.lit(float(self.documents)), F.col("df"))).drop("df")
+    def df(self, terms: list[str]) -> dict[str, int]:
+        """df of the given terms; those that no document holds are left out."""
+        asked = tuple(sorted(terms)), tuple(self.parts)
+        if self._asked != asked:
+            self._df = {r["term"]: r["df"] for r in self.counters(terms).select("term", "df").collect()}
+            self._asked = asked
+        return self._df
 
     def of_terms(self, terms: list[str]) -> DataFrame:
         """(term, url_hash, tf, tfidf) of a few terms."""
         rows = self._read("by_term", POSTING).where(F.col("bucket").isin(self._numbers(terms)) & F.col("term").isin(terms))
-        return self.weighted(self._live(rows.select("term", "url_hash", "tf", "part")), terms)
+        found = self._live(rows.select("term", "url_hash", "tf", "part"))
+        idf = F.lit(None).cast("double")
+        for term, df in self.df(terms).items():
+            idf = F.when(F.col("term") == term, F.log(F.lit(self.documents / df))).otherwise(idf)
+        return found.withColumn("tfidf", F.col("tf") * idf)
 
     def of_documents(self, keys: list[str]) -> DataFrame:
         """(term, url_hash, tf) of a few documents."""
@@ -161,6 +169,9 @@ class PlainIndex:
     def counters(self, terms: list[str]) -> DataFrame:
         return index.vocabulary(self.rows.where(F.col("term").isin(terms)))
 
+    def df(self, terms: list[str]) -> dict[str, int]:
+        return {r["term"]: r["df"] for r in self.counters(terms).select("term", "df").collect()}
+
     def of_terms(self, terms: list[str]) -> DataFrame:
         return self.rows.where(F.col("term").isin(terms)).select("term", "url_hash", "tf", "tfidf")
 

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Settings that the operators rely on; everything else is left to the cluster.
 SETTINGS = {
@@ -51,6 +52,21 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows that stay in the plan, so no job is needed to make or send them."""
+    if not rows:
+        return spark.createDataFrame([], schema)
+
+    def literal(value: object) -> str:
+        if isinstance(value, list):
+            return f"array({', '.join(map(literal, value))})"
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(value, str) else "NULL" if value is None else str(value)
+
+    table = spark.sql("VALUES " + ", ".join(f"({', '.join(map(literal, row))})" for row in rows))
+    fields = [part.rsplit(" ", 1) for part in schema.split(", ")]
+    return table.select(*(F.col(old).cast(kind).alias(name) for old, (name, kind) in zip(table.columns, fields)))
+
+
 def temporary(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder, removed when the application ends."""
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
