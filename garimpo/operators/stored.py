@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from garimpo.operators import index
 from garimpo.session import written
-from garimpo.sources import files
+from garimpo import files
 
 BUCKETS = 64
 POSTING = "term string, url_hash string, tf long, positions array<int>, bucket int"

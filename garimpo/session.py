@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from garimpo import files
+
 #: Settings that the operators rely on; everything else is left to the cluster.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -81,15 +83,24 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = temporary(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a ``written`` table that no plan reads any more, such as
+    the last generation of an iteration. Other tables are left alone."""
+    path = getattr(df, "written_path", None)
+    if path:
+        files.remove(df.sparkSession, path)
+
 
 
 @atexit.register
 def _remove_written() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            files.remove(spark, path)
         except Exception:  # the session has ended: nothing left to call
             return

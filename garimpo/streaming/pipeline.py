@@ -20,7 +20,7 @@ from pyspark.sql.types import StructType
 from garimpo.operators import ingest
 from garimpo.operators.stored import StoredIndex
 from garimpo.session import written
-from garimpo.sources import files
+from garimpo import files
 from garimpo.sources.tables import DOCUMENTS, SEEN
 
 BUCKETS, KEPT = 64, 4  # buckets of a table; manifests that stay, of two batches and their cycles
