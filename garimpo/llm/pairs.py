@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from garimpo.llm.batches import hasher, pieces, shingles
-from garimpo.session import written
+from garimpo.session import discard, written
 
 
 def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
@@ -77,7 +77,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(small.union(low.select("u", F.col("m").alias("v"))).where("u != v").distinct(), "links")
+        old, edges = edges, written(small.union(low.select("u", F.col("m").alias("v"))).where("u != v").distinct(), "links")
+        discard(old)
         row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (row["n"], row["h"]) == mark:
             break
