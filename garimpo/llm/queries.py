@@ -48,6 +48,19 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_lines.repeated_lines(table(spark, folder, "documents_in"), "seq", "url", "url_hash", "body").withColumnRenamed("id", "seq")
 
 
+def p4_cut(spark: SparkSession, folder: str) -> DataFrame:
+    """The bodies without the repeated lines."""
+    rows = table(spark, folder, "documents_in")
+    found = p4_found(spark, folder).withColumnRenamed("seq", "id")
+    return repeated_lines.without_lines(rows, found, "seq", "body").select("seq", "body")
+
+
+def p4_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """Repeated text by chunks alone, wherever lines begin or end."""
+    found = repeated_lines.repeated_spans(table(spark, folder, "documents_in"), "seq", "url", "url_hash", "body")
+    return found.withColumnRenamed("id", "seq")
+
+
 def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.near_duplicate_groups(table(spark, folder, "documents_in"), "seq", "title", "body", threshold=0.6, width=3, min_words=60)
 
@@ -96,6 +109,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_terms": p3_terms,
     "p3_ngrams": p3_ngrams,
     "p4_found": p4_found,
+    "p4_cut": p4_cut,
+    "p4_spans": p4_spans,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
     "p6_found": p6_found,

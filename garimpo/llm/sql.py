@@ -59,6 +59,7 @@ SQL = {
     "p3_terms": f"WITH {USES} SELECT term, occurrences, records, mark FROM marked",
     "p3_ngrams": f"SELECT n, ngram, count(*) AS occurrences, count(DISTINCT url_hash) AS records FROM (SELECT url_hash, CAST(n AS BIGINT) AS n, unnest({windows('w', 'n')}) AS ngram FROM ({TITLES}), (VALUES (1), (2), (3)) AS t(n)) GROUP BY n, ngram",
     "p4_found": f"WITH {LINES} SELECT DISTINCT seq, line_no FROM clean JOIN stands USING (site, line) JOIN pages USING (site) WHERE stands.n >= 5 AND stands.n >= 0.05 * pages.n",
+    "p4_cut": f"WITH {LINES}, bad AS (SELECT DISTINCT seq, line_no FROM clean JOIN stands USING (site, line) JOIN pages USING (site) WHERE stands.n >= 5 AND stands.n >= 0.05 * pages.n) SELECT d.seq, CASE WHEN d.body IS NOT NULL THEN coalesce(string_agg(raw, chr(10) ORDER BY each.line_no) FILTER (bad.seq IS NULL), '') END AS body FROM documents_in d LEFT JOIN each USING (seq) LEFT JOIN bad ON bad.seq = d.seq AND bad.line_no = each.line_no GROUP BY d.seq, d.body",
     "p5_found": f"WITH RECURSIVE {GROUPS} SELECT DISTINCT a AS seq_a, b AS seq_b FROM reached WHERE a < b",
     "p5_groups": f"WITH RECURSIVE {GROUPS} SELECT a AS id, min(b) AS group_id FROM reached GROUP BY a",
     "p7_found": f"WITH {LEAKS} SELECT DISTINCT doc_id, item_id FROM held JOIN wanted USING (size, g)",

@@ -87,3 +87,34 @@ def test_repeated_lines_match_brute_force(spark):
 def test_repeated_lines_of_nothing(spark):
     frame = spark.createDataFrame([], "seq long, url string, url_hash string, body string")
     assert repeated_lines.repeated_lines(frame, "seq", "url", "url_hash", "body").collect() == []
+
+
+def test_spans_are_found_inside_lines_and_across_breaks(spark):
+    rng = h.rng(31)
+    notice = "Este conteúdo é protegido pela lei de direitos autorais e não pode ser copiado sem autorização por escrito da redação, que responde pelos textos publicados neste endereço e atende o leitor em dias úteis."
+    rows, planted = [], {}
+    for i in range(60):
+        before, after = h.article(rng, 3), h.article(rng, 2)
+        if i % 3 == 0:
+            text = notice if i % 2 else notice.upper().replace(" ", "\n", 7)
+            planted[i] = (len(before) + 1, len(before) + 1 + len(text))
+            rows.append((i, "https://a.example/x", f"u{i}", f"{before} {text} {after}"))
+        else:
+            rows.append((i, "https://a.example/x", f"u{i}", f"{before}\n{after}"))
+    rows += [(100, "https://a.example/x", None, notice), (101, None, "n", None), (102, "https://a.example/x", "o", ""), (103, "https://b.example/x", "p", notice)]
+    frame = spark.createDataFrame(rows, "seq long, url string, url_hash string, body string")
+    spans = repeated_lines.repeated_spans(frame, "seq", "url", "url_hash", "body")
+    found = defaultdict(list)
+    for r in spans.collect():
+        found[r["id"]].append((r["start"], r["stop"]))
+    assert set(found) == {*planted, 100}
+    for i, (low, high) in planted.items():
+        assert all(low <= a < b <= high for a, b in found[i]), (i, found[i], low, high)
+        assert sum(b - a for a, b in found[i]) >= 0.6 * (high - low)
+    kept = {r["seq"]: r["body"] for r in repeated_lines.without_spans(frame.withColumn("id", frame.seq).withColumn("start", frame.seq), spans, "seq", "body").collect()}
+    for i, _, _, body in rows:
+        want = body
+        for a, b in sorted(found.get(i, []), reverse=True):
+            want = want[:a] + want[b:]
+        assert kept[i] == want
+    assert repeated_lines.repeated_spans(frame.limit(0), "seq", "url", "url_hash", "body").collect() == []
