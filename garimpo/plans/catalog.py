@@ -19,7 +19,7 @@ from garimpo.functions import url as urls
 from garimpo.operators import adhoc, context, index, ingest, recent, search
 from garimpo.operators.stored import StoredIndex
 from garimpo.plans import sql
-from garimpo.session import prepared, temporary, written
+from garimpo.session import local_table, prepared, temporary, written
 from garimpo.sources import tables
 from garimpo.sources.tables import DOCUMENTS, SEEN, table
 from garimpo.streaming import pipeline
@@ -531,6 +531,18 @@ def page_window(s, d):
     return adhoc.page_window(s, 6, 20)
 
 
+ASKED = [(p, z) for p in (None, -3, 0, 1, 7, 1000) for z in (None, -1, 0, 1, 10, 50, 51, 9999)]
+
+
+ASKED_SQL = ", ".join(f"({'NULL' if p is None else p}, {'NULL' if z is None else z})" for p, z in ASKED)
+
+
+@query(f"SELECT CAST(p AS BIGINT) AS page, CAST(z AS BIGINT) AS size, CAST(greatest(1, coalesce(p, 1)) AS BIGINT) AS shown_page, CAST(least(50, greatest(1, coalesce(z, 10))) AS BIGINT) AS shown_size FROM (VALUES {ASKED_SQL}) AS t(p, z)")
+def page_clamps(s, d):
+    rows = [(p, z, search.clamp_page(p), search.clamp_size(z)) for p, z in ASKED]
+    return local_table(s, rows, "page bigint, size bigint, shown_page bigint, shown_size bigint")
+
+
 @query("SELECT url_hash FROM fb_docs", PLAIN)
 def fallback_filter(s, d):
     return search.fallback_matches(docs_of(s, d), NO_INDEX.raw).select("url_hash")

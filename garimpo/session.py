@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +42,12 @@ def prepared(spark: SparkSession) -> SparkSession:
 
 
 _written: list[tuple[SparkSession, str]] = []
+_endings: list[Callable[[], object]] = []
+
+
+def at_end(action: Callable[[], object]) -> None:
+    """Run ``action`` when the application ends, before its temporary files go."""
+    _endings.append(action)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -99,6 +107,9 @@ def discard(df: DataFrame) -> None:
 
 @atexit.register
 def _remove_written() -> None:
+    for action in _endings:
+        with contextlib.suppress(Exception):  # the session has ended
+            action()
     for spark, path in _written:
         try:
             files.remove(spark, path)

@@ -49,3 +49,14 @@ def test_preview_and_highlight(spark):
     assert [r[0] for r in found] == ["a" * 400, "b" * 400 + "...", None]
     marked = rows(spark, ["A LICITAÇÃO (x)"]).select(texts.highlight(F.col("t"), ["licitação", "(x)"])).first()[0]
     assert marked == "A <mark>LICITAÇÃO</mark> <mark>(x)</mark>"
+
+
+def test_stems_by_hand(spark):
+    by_hand = {
+        "prefeituras": "prefeitur", "operações": "oper", "rapidamente": "rapida", "investigado": "investig", "investigadas": "investig", "cidade": "cidad",
+        "público": "public", "câmara": "camar", "lei": "lei", "leis": "leis", "contratos": "contrat", "corruptores": "corruptor", "existência": "exist",
+        "notáveis": "not", "capitalismo": "capital", "jornalistas": "jornal", "pagando": "pag", "venderam": "vend", "decidiu": "decidiu", "pão": "pao", "mães": "maes",
+    }
+    found = spark.createDataFrame(list(by_hand), "string").toDF("t").select("t", texts.stem("t").alias("s")).collect()
+    assert {r["t"]: r["s"] for r in found} == by_hand
+    assert {w: texts.analyze(w)[0] for w in by_hand if w not in texts.STOP_WORDS} == by_hand
