@@ -127,13 +127,13 @@ class StoredIndex:
     def add(self, docs: DataFrame, documents: int, part: int | None = None) -> None:
         """Index ``docs`` (url_hash, body; one row per key), replacing what the index
         holds of them; ``documents`` is the size of the collection afterwards. Blank
-        bodies have no postings. A part number, such as that of a micro-batch, makes
+        bodies have no postings, rows with a null key are left out. A part number, such as that of a micro-batch, makes
         the step repeatable: up to the last part that counts nothing is written again.
         Numbers double, for ``compact`` takes the odd ones."""
         number = (self.parts[-1] // 2 * 2 + 2 if self.parts else 0) if part is None else 2 * part
         if self.parts and number <= self.parts[-1]:
             return
-        docs = written(docs.select("url_hash", "body"), "waiting")
+        docs = written(docs.where("url_hash IS NOT NULL").select("url_hash", "body"), "waiting")
         rows = written(index.postings(docs), "postings")
         added = index.vocabulary(rows)
         removed = docs.select("url_hash").limit(0)
@@ -149,15 +149,17 @@ class StoredIndex:
         self._store(number, rows, added, removed, documents, self.parts[0] if self.parts else number)
 
     def compact(self) -> None:
-        """One part of all, without void postings and terms that no document holds;
-        the parts before it are removed. Nothing to do if nothing was added since."""
-        old, part = list(self.parts), self.parts[-1] // 2 * 2 + 1
-        if part in old:
+        """One part of all, without void postings and terms that no document holds.
+        Nothing to do if nothing was added since. The parts it replaces stay for those
+        who read them now, until the next time."""
+        if not self.parts or (len(self.parts) == 1 and self.parts[0] % 2):
             return
+        old, part = list(self.parts), self.parts[-1] // 2 * 2 + 1
         rows = written(self.postings(), "postings")
         self._store(part, rows, self.counters(), rows.select("url_hash").limit(0), self.documents, part)
-        for k in old:
-            files.remove(self.spark, f"{self.folder}/part={k}")
+        for name in files.names(self.spark, self.folder):
+            if name.startswith("part=") and int(name[5:]) < part and int(name[5:]) not in old:
+                files.remove(self.spark, f"{self.folder}/{name}")
 
 
 class PlainIndex:

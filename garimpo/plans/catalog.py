@@ -84,7 +84,7 @@ def served(s: SparkSession, d: str) -> tuple[DataFrame, StoredIndex]:
     if place not in _served:
         docs = written(docs_of(s, d).repartitionByRange("url_hash").sortWithinPartitions("url_hash"), "docs")
         stored = StoredIndex(s, temporary(s, "index"), buckets=32)
-        stored.add(docs.where("url_hash IS NOT NULL"), docs.count())
+        stored.add(docs, docs.count())
         _served[place] = docs, stored
     return _served[place]
 

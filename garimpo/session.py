@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -50,16 +51,22 @@ def at_end(action: Callable[[], object]) -> None:
     _endings.append(action)
 
 
+_roots: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``; a temporary
-    folder only where the setting is absent and the master is one machine."""
+    folder only where the setting is absent and the master is one machine. It goes
+    when the application ends, and the setting stays as it is."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="garimpo-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    name = spark.sparkContext.applicationId
+    if name not in _roots:
+        _roots[name] = tempfile.mkdtemp(prefix="garimpo-")
+    return "file://" + _roots[name]
 
 
 def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
@@ -114,4 +121,6 @@ def _remove_written() -> None:
         try:
             files.remove(spark, path)
         except Exception:  # the session has ended: nothing left to call
-            return
+            break
+    for root in _roots.values():
+        shutil.rmtree(root, ignore_errors=True)

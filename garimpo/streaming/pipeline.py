@@ -23,6 +23,7 @@ from garimpo.session import written
 from garimpo import files
 from garimpo.sources.tables import DOCUMENTS, SEEN
 
+MOST_PARTS = 16  # parts of the index that a lookup reads; beyond it they become one
 BUCKETS, KEPT = 64, 4  # buckets of a table; manifests that stay, of two batches and their cycles
 
 
@@ -118,7 +119,9 @@ def index_cycle(table: Landed, stored: StoredIndex, number: int, now: datetime)
     that counts."""
     docs = table.read(before=2 * number + 1)
     waiting = written(docs.where(F.col("indexed_at").isNull()), "pending")
-    stored.add(waiting.where("url_hash IS NOT NULL"), docs.count(), number)
+    stored.add(waiting, docs.count(), number)
+    if len(stored.parts) > MOST_PARTS:
+        stored.compact()
     table.merge(waiting, 2 * number + 1, lambda old, done: ingest.mark_indexed(old, done, now))
 
 

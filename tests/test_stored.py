@@ -28,9 +28,13 @@ def test_cycles_equal_a_full_build(spark, tmp_path):
     stored.compact()
     assert contents(stored) == full(spark, now) and len(stored.parts) == 1 and stored.documents == 5
     stored.compact()
-    stored.add(spark.createDataFrame([("f", "foo")], DOC), 6)
+    assert sorted(p.name for p in (tmp_path / "index").glob("part=*")) == ["part=0", "part=2", "part=4", "part=5"]
+    stored.add(spark.createDataFrame([("f", "foo"), (None, "sem chave")], DOC), 6)
     again = StoredIndex(spark, f"file://{tmp_path}/index", buckets=4)
     assert again.parts == stored.parts and contents(again) == full(spark, [*now, ("f", "foo")])
+    again.compact()
+    assert contents(again) == full(spark, [*now, ("f", "foo")])
+    assert sorted(p.name for p in (tmp_path / "index").glob("part=*")) == ["part=5", "part=6", "part=7"]
 
 
 def test_a_part_counts_once(spark, tmp_path):
