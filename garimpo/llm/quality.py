@@ -91,6 +91,21 @@ class Statistics:
     def __init__(self, common: np.ndarray, hashed: Hasher) -> None:
         self.kinds, self.common, self.hashed = kinds(), common, hashed
 
+    def is_common(self, flat: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.common, flat), max(len(self.common) - 1, 0))
+        return (self.common[at] == flat) & (flat != 0) if len(self.common) else np.zeros(len(flat), bool)
+
+    def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(words, letters and digits in them, common words) of each text."""
+        flat, ends = self.hashed(texts)
+        length, starts = self.hashed.lengths, np.concatenate([[0], ends[:-1] + 1])
+
+        def summed(values: np.ndarray) -> np.ndarray:
+            total = np.concatenate([[0], np.cumsum(values)])
+            return (total[ends] - total[starts]).astype(float)
+
+        return (ends - starts).astype(float), summed(length), summed(self.is_common(flat))
+
     def __call__(self, lines: list[str]) -> dict[str, np.ndarray]:
         flat, ends = self.hashed(lines)
         length = self.hashed.lengths
@@ -119,10 +134,8 @@ class Statistics:
         again = np.zeros(len(flat), bool)
         if len(flat) > 1:
             again[1:] = (flat[order][1:] == flat[order][:-1]) & (owner[order][1:] == owner[order][:-1])
-        at = np.minimum(np.searchsorted(self.common, flat), max(len(self.common) - 1, 0))
-        is_common = (self.common[at] == flat) & (flat != 0) if len(self.common) else np.zeros(len(flat), bool)
         return {
-            "common": terms(is_common) / words,
+            "common": terms(self.is_common(flat)) / words,
             "symbols": chars((kind & SYMBOL) > 0) / visible,
             "digits": chars((kind & DIGIT) > 0) / visible,
             "ends": np.where((kind[stop - 1] & END) > 0, 2.0, np.where((kind[stop - 1] & DIGIT) > 0, 1.0, 0.0)),
@@ -136,8 +149,6 @@ class Statistics:
             "chars": sizes,
             "symbol_chars": chars((kind & SYMBOL) > 0),
             "visible": chars(~space),
-            "common_words": terms(is_common),
-            "letters_of_words": terms(length),
         }
 
 
@@ -271,10 +282,12 @@ def text_statistics(docs: DataFrame, id_col: str, text: str, common_words: DataF
                     stats = statistics(lines)
                     labels = hmm.label(hmm.scores(stats), counts)
                     owner = np.repeat(np.arange(len(parts)), counts)
-                    for k in ("words", "letters_of_words", "symbol_chars", "visible", "common_words", "chars"):
+                    for k in ("symbol_chars", "visible", "chars"):
                         total[k] = np.bincount(owner, stats[k], len(parts))
                     for k in range(4):
                         total[k] = np.bincount(owner, stats["chars"] * (labels == k), len(parts))
+                # words of the whole texts: a segment may end within a long word
+                total["words"], total["letters_of_words"], total["common_words"] = statistics.words(piece)
                 for i, text_ in enumerate(piece):
                     ends = [line.rstrip()[-1] for line in text_.split("\n") if line.strip()]
                     total["lines"][i] = len(ends)

@@ -97,6 +97,12 @@ def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return quality.text_statistics(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "common_words")).withColumnRenamed("id", "doc_id")
 
 
+def p9_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """The statistics that do not depend on the model."""
+    shares = [F.round(c, 6).alias(c) for c in ("mean_word_length", "line_end_share", "common_share")]
+    return p9_statistics(spark, folder).select("doc_id", "words", *shares)
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return quality.no_prose(p9_statistics(spark, folder).withColumnRenamed("doc_id", "id")).withColumnRenamed("id", "doc_id")
 
@@ -119,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
     "p9_found": p9_found,
+    "p9_counts": p9_counts,
     "p9_statistics": p9_statistics,
 }
 

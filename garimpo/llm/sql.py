@@ -51,6 +51,10 @@ wanted AS (SELECT DISTINCT item_id, size, unnest({windows('w', 'size')}) AS g FR
 texts_ AS (SELECT doc_id, {folded_words('text')} AS w FROM documents),
 held AS (SELECT DISTINCT doc_id, size, unnest({windows('w', 'size')}) AS g FROM texts_, (SELECT DISTINCT size FROM units))"""
 
+STATISTICS = rf"""texts_ AS (SELECT doc_id, {folded_words('text')} AS w, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[\s\pZ]+|[\s\pZ]+$', '', 'g')), lambda x: x <> '') AS l FROM documents),
+frequent AS (SELECT list(DISTINCT w) AS f FROM (SELECT unnest({folded_words('word')}) AS w FROM common_words))"""
+ENDS = ", ".join(quote(c) for c in ".!?…:;\"”»’)")
+
 TITLES = f"SELECT url_hash, regexp_extract_all(lower(title), {quote(texts.WORD)}) AS w FROM documents_in WHERE url_hash IS NOT NULL"
 
 SQL = {
@@ -62,5 +66,6 @@ SQL = {
     "p4_cut": f"WITH {LINES}, bad AS (SELECT DISTINCT seq, line_no FROM clean JOIN stands USING (site, line) JOIN pages USING (site) WHERE stands.n >= 5 AND stands.n >= 0.05 * pages.n) SELECT d.seq, CASE WHEN d.body IS NOT NULL THEN coalesce(string_agg(raw, chr(10) ORDER BY each.line_no) FILTER (bad.seq IS NULL), '') END AS body FROM documents_in d LEFT JOIN each USING (seq) LEFT JOIN bad ON bad.seq = d.seq AND bad.line_no = each.line_no GROUP BY d.seq, d.body",
     "p5_found": f"WITH RECURSIVE {GROUPS} SELECT DISTINCT a AS seq_a, b AS seq_b FROM reached WHERE a < b",
     "p5_groups": f"WITH RECURSIVE {GROUPS} SELECT a AS id, min(b) AS group_id FROM reached GROUP BY a",
+    "p9_counts": f"WITH {STATISTICS} SELECT doc_id, coalesce(len(w), 0) AS words, round(CASE WHEN len(w) > 0 THEN list_sum(list_transform(w, lambda x: length(x))) / CAST(len(w) AS DOUBLE) END, 6) AS mean_word_length, round(CASE WHEN len(l) > 0 THEN len(list_filter(l, lambda x: right(x, 1) IN ({ENDS}))) / CAST(len(l) AS DOUBLE) END, 6) AS line_end_share, round(CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda x: list_contains(f, x))) / CAST(len(w) AS DOUBLE) END, 6) AS common_share FROM texts_, frequent",
     "p7_found": f"WITH {LEAKS} SELECT DISTINCT doc_id, item_id FROM held JOIN wanted USING (size, g)",
 }
