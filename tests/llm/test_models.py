@@ -1,6 +1,7 @@
 import json
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from garimpo.llm import boilerplate, quality, residue
 from tests.llm import helpers as h
@@ -111,3 +112,34 @@ def test_viterbi_matches_enumeration():
             best = max(product(range(4), repeat=n), key=lambda p: model.start[p[0]] + sum(part[i, s] for i, s in enumerate(p)) + sum(model.move[a, b] for a, b in zip(p, p[1:])))
             assert json.dumps(got[base : base + n].tolist()) == json.dumps(list(best))
         base += n
+
+
+def outside_the_first_rows(spark):
+    """A table of more than 4,000 rows in which two wordings of prose stand in one row
+    each: a page of more than 20,000 characters, and the page whose hashed id is last.
+    Two short pages in these wordings end with a notice."""
+    rng = h.rng(12)
+    menus = [" | ".join(rng.choice(h.VOCABULARY).capitalize() for _ in range(6)) for _ in range(40)]
+    rows = [r for r in site(rng) if r[0] < 150] + [(i, "https://j.example/3", "x", f"{menus[i % 40]}\n{prose(rng, 1)}") for i in range(1000, 5400)]
+    last = spark.createDataFrame([(r[0],) for r in rows], "seq long").orderBy(F.xxhash64("seq").desc()).first()["seq"]
+    bodies = {}
+    for k, syllables in enumerate((("wyk", "zvo", "xqu", "pwy"), ("kjø", "þry", "gwæ", "hßu"))):
+        words = [a + b for a in syllables for b in syllables]
+
+        def said(n):
+            return " ".join(f"O {rng.choice(words)} de {rng.choice(words)} não foi {rng.choice(words)}." if n == 1 else f"O {rng.choice(words)} de {rng.choice(words)} não foi {rng.choice(words)}, e a {rng.choice(words)} da {rng.choice(words)} foi {rng.choice(words)} para o {rng.choice(words)}." for _ in range(n))
+
+        bodies[k] = "\n".join(said(3) for _ in range(130))
+        rows.append((9000 + k, "https://j.example/4", "x", "\n".join(["Início", "Fale conosco", *(said(1) for _ in range(5)), "O conteúdo solicitado não está mais disponível."])))
+    assert len(bodies[0]) > 20_000
+    rows = [(s, u, t, bodies[1][:18_000] if s == last else b) for s, u, t, b in rows] + [(8000, "https://j.example/5", "x", bodies[0])]
+    return spark.createDataFrame(rows, "seq long, url string, title string, body string")
+
+
+def test_models_are_fitted_to_all_rows_and_whole_texts(spark):
+    pages = outside_the_first_rows(spark)
+    found = {r["id"]: r for r in residue.judged(pages, "seq", "title", "body", "url")[2].collect()}
+    assert found[9000]["prose_chars"] > 60 and found[9001]["prose_chars"] > 60
+    assert not {r["id"] for r in residue.residue_rows(pages, "seq", "title", "body", "url").collect()} & {9000, 9001}
+    same = [residue.fit(part, "body").ratio for part in (pages.coalesce(1), pages.repartition(7, "seq"))]
+    assert (same[0] == same[1]).all()
