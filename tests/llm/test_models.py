@@ -143,3 +143,8 @@ def test_models_are_fitted_to_all_rows_and_whole_texts(spark):
     assert not {r["id"] for r in residue.residue_rows(pages, "seq", "title", "body", "url").collect()} & {9000, 9001}
     same = [residue.fit(part, "body").ratio for part in (pages.coalesce(1), pages.repartition(7, "seq"))]
     assert (same[0] == same[1]).all()
+
+
+def test_a_page_in_a_wording_of_one_other_row_keeps_its_article(spark):
+    cut = {(r["id"], r["line_no"]) for r in boilerplate.boilerplate_lines(outside_the_first_rows(spark), "seq", "url", "title", "body").collect()}
+    assert {(9000, 0), (9000, 1), (9001, 0), (9001, 1)} <= cut and not [n for s, n in cut if s >= 9000 and 2 <= n < 7]
