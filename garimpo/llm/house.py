@@ -34,25 +34,41 @@ REGISTERS = REPEATS * BUCKETS
 
 FUNCTION_WORDS = frozenset("o a os as um uma de do da dos das em no na nos nas por para pelo pela com e que se foi não el la los las del y en un una con the of and to in was for on that is by with".split())
 FOLDED = frozenset(map(fold, FUNCTION_WORDS))
-END = re.compile(r"[.!?…][”\"»’')]*$")
-DIGITS = re.compile(r"\d+")
+DIGITS, ASCII_DIGITS = re.compile(r"\d+"), re.compile(rb"[0-9]+")
+#: The bytes that may begin a digit beyond ASCII in UTF-8: there is none below U+0660
+#: nor from U+2000 to U+9FFF.
+DIGIT_LEADS = bytes([*range(0xD9, 0xE2), *range(0xEA, 0x100)])
 
 
 def key(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def line_key(line: str) -> int:
-    """Key of a line with single blanks: equal apart from case and numbers."""
-    return key(DIGITS.sub("0", line.lower()))
+def line_key(low: str) -> int:
+    """Key of a line with single blanks, in lower case: equal apart from case and numbers."""
+    raw = low.encode("utf-8", "surrogatepass")
+    if len(raw.translate(None, DIGIT_LEADS)) < len(raw):
+        return key(DIGITS.sub("0", low))
+    return xxhash.xxh3_64_intdigest(ASCII_DIGITS.sub(b"0", raw)) - (1 << 63)
 
 
-def running_text(line: str) -> bool:
+def ends_sentence(line: str) -> bool:
+    return line.rstrip("”\"»’')").endswith((".", "!", "?", "…"))
+
+
+def running_text(line: str, low: str) -> bool:
     """Whether a line is running text: it ends as a sentence and holds a function
-    word, or is long and rich in them."""
+    word, or is long and rich in them. ``low`` is the line in lower case."""
+    found = low.split()
+    if len(found) < 5:
+        return False
+    ends, plain = ends_sentence(line), sum(map(str.isascii, found))
+    # words without accents are what they are when folded, and settle most lines
+    if plain >= 5 and not FOLDED.isdisjoint(found) if ends else plain >= 14 and sum(map(FOLDED.__contains__, found)) >= 0.2 * len(found):
+        return True
     found = fold(line).split()
-    functions = sum(w in FOLDED for w in found)
-    if len(found) < 5 or not END.search(line):
+    functions = sum(map(FOLDED.__contains__, found))
+    if len(found) < 5 or not ends:
         return len(found) >= 14 and functions >= 0.2 * len(found)
     return functions > 0
 
@@ -113,10 +129,10 @@ def house_lines(pages: DataFrame) -> DataFrame:
     has none. A third of all rows may be copies of one page: they are one before the
     count, and a line's count is pre-aggregated by page."""
     groups = written(page_groups(pages), "page-groups")
-    each = pages.join(groups, "row", "left").select("site", F.coalesce("page", "own").alias("page"), F.explode("lines").alias("line"))
-    per_page = written(each.distinct(), "page-lines")
+    named = pages.join(groups, "row", "left").withColumn("page", F.coalesce("page", "own"))
+    per_page = written(named.select("site", "page", F.explode("lines").alias("line")).distinct(), "page-lines")
     counts = per_page.groupBy("site", "line").agg(F.count("*").alias("n")).where("n >= 2")
-    size = per_page.select("site", "page").distinct().groupBy("site").agg(F.count("*").alias("pages"))
+    size = named.where(F.size("lines") > 0).select("site", "page").distinct().groupBy("site").agg(F.count("*").alias("pages"))
     counts = written(counts.join(size, "site"), "line-counts")
     total = size.agg(F.sum("pages").alias("n")).first()["n"] or 0
     own = counts.where((F.col("n") >= HOUSE_PAGES) & (F.col("n") >= HOUSE_SHARE * F.col("pages"))).select("site", "line")
